@@ -32,7 +32,8 @@ END_ID = 2
 MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x10
 INDEX = np.dtype([("offset", "<u8"), ("id", "<i8"), ("tokens", "<u4"), ("null", "u1")])
-CACHE = 400_000
+#: Pieces kept by a worker, and pieces encoded as one text.
+CACHE, JOINED = 500_000, 1000
 
 
 def masked(data: bytes) -> int:
@@ -62,8 +63,9 @@ class Encoder:
     """Token ids of texts, as bytes of one integer type.
 
     A byte-level pre-tokenizer always starts a token at a single space between
-    two other characters, so texts are cut there and each distinct piece is
-    encoded once. Texts with wider white space at a cut are encoded whole.
+    two other characters, and a single line end between two such is a token of its
+    own; texts are cut at both and each distinct piece is encoded once, many at a
+    time. Texts with wider white space at a cut are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,23 +74,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.newline = self.tokenizer.token_to_id("\u010a")
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.heads: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes | None] = {}
 
-    def _learn(self, cache: dict, pieces: set[str], prefix: str) -> None:
-        if len(cache) > CACHE:
-            cache.clear()
-        new = [p for p in pieces if p not in cache]
-        whole = [p for p in new if p and not p[-1].isspace() and not (prefix and p[0].isspace())]
-        cache.update(dict.fromkeys(new))
-        for p, e in zip(whole, self.tokenizer.encode_batch([prefix + p for p in whole], add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, self.dtype).tobytes()
+    def _joined(self, pieces: list[str], mark: str, starts) -> list[bytes]:
+        """Ids of each piece: many are encoded as one text, cut again where ids begin a piece. starts: ids to flags."""
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([mark + mark.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(starts(ids))
+            if len(cuts) != len(group):
+                raise RuntimeError("pieces and cuts differ")
+            data, at = ids.tobytes(), [*(cuts * ids.itemsize).tolist(), ids.nbytes]
+            drop = 0 if mark == " " else ids.itemsize
+            out += [data[x + drop : y] for x, y in zip(at, at[1:], strict=False)]
+        return out
+
+    def _learn(self, tails: set[str], heads: set[str]) -> None:
+        """Fill both caches. Pieces with single line ends inside are put together from the lines' ids."""
+        if len(self.tails) + len(self.heads) > CACHE:
+            self.tails.clear()
+            self.heads.clear()
+        new = {" ": [p for p in tails if p not in self.tails], "": [p for p in heads if p not in self.heads]}
+        compound: dict[str, list[str]] = {}
+        simple: dict[str, set[str]] = {" ": set(), "": set()}
+        for mark, pieces in new.items():
+            cache = self.tails if mark else self.heads
+            for p in pieces:
+                lines = p.split("\n")
+                if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                    cache[p] = None
+                    continue
+                if len(lines) > 1:
+                    compound.setdefault(mark, []).append(p)
+                    simple[""].update(x for x in lines[1:] if x not in self.heads)
+                if lines[0] not in cache:
+                    simple[mark].add(lines[0])
+        for mark, cache, flag in ((" ", self.tails, lambda ids: self.spaced[ids]), ("", self.heads, lambda ids: ids == self.newline)):
+            todo = list(simple[mark])
+            cache.update(zip(todo, self._joined(todo, mark or "\n", flag), strict=True))
+        end = np.array([self.newline], self.dtype).tobytes()
+        for mark, pieces in compound.items():
+            cache = self.tails if mark else self.heads
+            for p in pieces:
+                first, *rest = p.split("\n")
+                cache[p] = end.join([cache[first], *(self.heads[x] for x in rest)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 256):
             parts = [t.split(" ") for t in texts[i : i + 256]]
-            self._learn(self.heads, {p[0] for p in parts}, "")
-            self._learn(self.tails, set().union(*(p[1:] for p in parts)), " ")
+            self._learn(set().union(*(p[1:] for p in parts)), {p[0] for p in parts})
             for text, (head, *tail) in zip(texts[i : i + 256], parts, strict=True):
                 try:
                     yield b"".join((self.heads[head], *map(self.tails.__getitem__, tail)))
