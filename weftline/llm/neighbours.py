@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weftline.llm.text import least_hashes
 from weftline.sources.shared import written
 
 SAMPLE, MOST_LISTS, ROWS_A_LIST = 20_000, 1024, 16
@@ -176,7 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
         return empty
     dim, n, longest = lengths[0].d, lengths[0].n, float(lengths[0].m) ** 0.5
     rows = rows.where(F.size("v") == dim)
-    sample = rows.select("v", F.xxhash64("vec_id", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE).select("v").toArrow()
+    sample = least_hashes(rows.select("v", F.xxhash64("vec_id", F.lit(seed)).alias("h")), SAMPLE, n=n).select("v").toArrow()
     index = Index(matrix(sample.column("v"), dim), longest, n, seed)
 
     def assign(batches):
@@ -211,7 +212,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
         return both.applyInArrow(lambda a, b: index.search(a, b, k), "query_id long, vec_id long, score double")
 
     # How many lists to probe: all rows against a bounded set of queries.
-    probe = queries.orderBy("h").limit(PROBE_QUERIES).select("query_id", "q").toArrow()
+    probe = least_hashes(queries, PROBE_QUERIES).select("query_id", "q").toArrow()
     if not probe.num_rows:
         return empty
     pq, pid = matrix(probe.column("q"), dim).astype(np.float64), probe.column("query_id").to_numpy()

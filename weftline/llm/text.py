@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Java regular expression of one separator.
@@ -38,3 +38,15 @@ def in_fold(c: Column, parts: int, fold: int) -> Column:
 
 def crc_fold(doc_id: int | None, parts: int) -> int:
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % parts
+
+
+def least_hashes(df: DataFrame, limit: int, h: str = "h", n: int | None = None) -> DataFrame:
+    """The limit rows with the least hashes of a seeded hash column, of n rows (counted here if not given).
+
+    Of many rows, a share of about twice the limit is drawn by the hash first, so
+    that the tasks hand on few rows altogether, however many tasks there are.
+    """
+    n = df.count() if n is None else n
+    if n > 4 * limit:
+        df = df.where(F.pmod(F.col(h), F.lit(1 << 40)) < int((1 << 40) * 2 * limit / n))
+    return df.orderBy(h).limit(limit)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import LOWER, in_fold
+from weftline.llm.text import LOWER, in_fold, least_hashes
 
 SIZES = (5, 7)
 BITS = 18
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of the labelled documents given: TOXIC_DOCS and OTHER_DOCS by least hash; a fourth of it places the threshold."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("k")).agg(F.max(label_col).alias("y"))
     known = known.withColumn("h", F.xxhash64("k", F.lit(seed)))
-    sample = known.where("y = 1").orderBy("h").limit(TOXIC_DOCS).union(known.where("y = 0").orderBy("h").limit(OTHER_DOCS))
+    sample = least_hashes(known.where("y = 1"), TOXIC_DOCS).union(least_hashes(known.where("y = 0"), OTHER_DOCS))
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     # At most TOXIC_DOCS + OTHER_DOCS ids are broadcast.
     rows = src.join(F.broadcast(sample), F.col("id") == F.col("k")).select("id", "h", "y", "text").dropDuplicates(["id"]).collect()
