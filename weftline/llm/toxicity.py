@@ -27,6 +27,8 @@ BITS = 18
 #: Bounds of the training sample, and of the n-grams that get a weight.
 TOXIC_DOCS, OTHER_DOCS, FEATURES = 3000, 5000, 4096
 THRESHOLD = 0.7
+#: Documents whose n-grams are held at once while fitting.
+FITTED_AT_ONCE = 128
 _PIECE = 1 << 22
 
 
@@ -81,28 +83,37 @@ class Model:
 
 def fit(texts: list[str | None], y: np.ndarray, steps: int = 150, rate: float = 0.15) -> Model:
     """Keep the FEATURES n-grams whose document counts differ most between labels, then descend on the noisy-or loss."""
-    data, sentence, owner = _byte_runs(texts)
-    n_docs, n_sent = len(texts), len(owner)
+    n_docs = len(texts)
     pos, neg = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    kept, rows, cols = {}, [], []
-    total = 0
+    toxic, other = ({n: np.zeros(1 << BITS) for n in SIZES} for _ in range(2))
+    for i in range(0, n_docs, FITTED_AT_ONCE):
+        data, sentence, owner = _byte_runs(texts[i : i + FITTED_AT_ONCE])
+        for n in SIZES:
+            h, s = _grams(data, sentence, n)
+            pair = np.unique(owner[s].astype(np.int64) << BITS | h)
+            label, gram = y[i + (pair >> BITS)], pair & ((1 << BITS) - 1)
+            toxic[n] += np.bincount(gram, weights=label, minlength=1 << BITS)
+            other[n] += np.bincount(gram, weights=1 - label, minlength=1 << BITS)
+    kept, index, total = {}, {}, 0
     for n in SIZES:
-        h, s = _grams(data, sentence, n)
-        pair = np.unique(owner[s].astype(np.int64) << BITS | h)
-        doc, gram = pair >> BITS, pair & ((1 << BITS) - 1)
-        a = np.bincount(gram, weights=y[doc], minlength=1 << BITS)
-        b = np.bincount(gram, minlength=1 << BITS) - a
+        a, b = toxic[n], other[n]
         gain = (a / pos - b / neg) / np.sqrt((a + b + 4) * (1 / pos**2 + 1 / neg**2) / 2)
-        top = np.argsort(-np.abs(np.where(a + b >= 5, gain, 0)), kind="stable")[: FEATURES // len(SIZES)]
-        index = np.full(1 << BITS, -1, np.int32)
-        index[top] = np.arange(len(top)) + total
-        at = index[h]
-        use = at >= 0
-        rows.append(s[use])
-        cols.append(at[use])
-        kept[n] = top
-        total += len(top)
-    row, col = np.concatenate(rows), np.concatenate(cols)
+        kept[n] = np.argsort(-np.abs(np.where(a + b >= 5, gain, 0)), kind="stable")[: FEATURES // len(SIZES)]
+        index[n] = np.full(1 << BITS, -1, np.int32)
+        index[n][kept[n]] = np.arange(len(kept[n])) + total
+        total += len(kept[n])
+    rows, cols, owners, n_sent = [], [], [], 0
+    for i in range(0, n_docs, FITTED_AT_ONCE):
+        data, sentence, owner = _byte_runs(texts[i : i + FITTED_AT_ONCE])
+        for n in SIZES:
+            h, s = _grams(data, sentence, n)
+            at = index[n][h]
+            rows.append((s[at >= 0] + n_sent).astype(np.int32))
+            cols.append(at[at >= 0])
+        owners.append(owner + i)
+        n_sent += len(owner)
+    row, col, owner = np.concatenate(rows), np.concatenate(cols), np.concatenate(owners)
+    del rows, cols, owners
     w, bias = np.zeros(total), -4.0
     m, v, mb, vb = np.zeros(total), np.zeros(total), 0.0, 0.0
     each = np.where(y == 1, 0.5 / pos, 0.5 / neg)
@@ -126,8 +137,12 @@ def fit(texts: list[str | None], y: np.ndarray, steps: int = 150, rate: float =
 
 def calibrated(model: Model, texts: list[str | None], y: np.ndarray) -> Model:
     """Place the threshold where documents that were not fitted are told apart best (F1; the middle of the widest best gap)."""
-    z, owner, _ = model.sentences(texts)
-    s = model.scores(z, owner, len(texts))
+    parts = []
+    for i in range(0, len(texts), FITTED_AT_ONCE):
+        part = texts[i : i + FITTED_AT_ONCE]
+        z, owner, _ = model.sentences(part)
+        parts.append(model.scores(z, owner, len(part)))
+    s = np.concatenate(parts)
     logit = np.log(np.clip(s, 1e-12, 1)) - np.log(np.clip(1 - s, 1e-12, 1)) - np.log(THRESHOLD / (1 - THRESHOLD))
     order = np.argsort(-logit, kind="stable")
     hits = np.cumsum(y[order])
