@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.text import in_parts
+
 SPACE = "▁"
 #: Pieces of text kept by a worker, and symbols up to which texts are relaxed side by side.
-CACHE, LONG = 400_000, 256
+CACHE, LONG = 200_000, 256
+#: Bytes of pieces whose suffixes are sorted together (a longer piece is sorted alone).
+SORTED = 1 << 18
 _SEPARATOR = b"\xff"
 
 
@@ -186,6 +190,20 @@ def relax(vocabulary: Vocabulary, texts: list[bytes]) -> list[bytes]:
     return [out[a:b] for a, b in zip(cuts.tolist(), cuts.tolist()[1:], strict=False)]
 
 
+def _groups(pieces: list[str]) -> Iterator[list[str]]:
+    """The pieces in order, in lists of about SORTED bytes."""
+    out, size = [], 0
+    for p in pieces:
+        n = len(p.encode())
+        if out and size + n > SORTED:
+            yield out
+            out, size = [], 0
+        out.append(p)
+        size += n
+    if out:
+        yield out
+
+
 class Codec:
     """Encodes each distinct piece of text once. Pieces never cross a space that follows another character."""
 
@@ -202,7 +220,8 @@ class Codec:
             new = [p for p in set().union(*parts) if p not in self.known]
             whole = [p for p in new if p]
             self.known[""] = None
-            self.known.update(zip(whole, relax(self.vocabulary, [(SPACE + p).encode() for p in whole]), strict=True))
+            for some in _groups(whole):
+                self.known.update(zip(some, relax(self.vocabulary, [(SPACE + p).encode() for p in some]), strict=True))
             for text, p in zip(part, parts, strict=True):
                 try:
                     data = b"".join(map(self.known.__getitem__, p))
@@ -244,7 +263,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
+        for b in (part for batch in batches for part in in_parts(batch)):
             ids = list(c.encode([t or "" for t in b.column(1).to_pylist()]))
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, c.vocabulary.kind)]).astype(np.int32)
@@ -275,7 +294,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         c = codec(path)
         single = np.zeros(len(c.vocabulary.text), bool)
         single[c.vocabulary.byte_ids] = True
-        for b in batches:
+        for b in (part for batch in batches for part in in_parts(batch)):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n, m, crc, same = [], [], [], []
             for t, ids in zip(texts, c.encode(texts), strict=True):

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +54,14 @@ def least_hashes(df: DataFrame, limit: int, h: str = "h", n: int | None = None)
     if n > 4 * limit:
         df = df.where(F.pmod(F.col(h), F.lit(1 << 40)) < int((1 << 40) * 2 * limit / n))
     return df.orderBy(h).limit(limit)
+
+
+def in_parts(batch: pa.RecordBatch, place: int = 1, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, each with about size bytes in the text column at place (one row at least),
+    so that a task holds little beside the batch itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
