@@ -66,6 +66,26 @@ def test_op5_against_brute_force(spark):
     assert Counter((r.id, r.fp % 2**64, r.component_id) for r in got) == want
 
 
+def test_op5_large_buckets_are_dealt_again_and_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 30, dtype=np.uint64)
+    base[:20] = (base[:20] & np.uint64(0xFFFFFFFF)) | np.uint64(0xABCDEF0100000000)  # alike on two blocks
+    flips = [base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for _ in range(8)]
+    codes = [int(x) for x in np.unique(np.concatenate(flips))]
+    edges = simhash.fingerprint_links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in codes], "fp long"), split=100).collect()
+    place = {int(np.uint64(x).view(np.int64)): i for i, x in enumerate(codes)}
+    got = simhash.labels(len(codes), np.array([place[r.u] for r in edges]), np.array([place[r.v] for r in edges]))
+    assert got.tolist() == brute_components(list(range(len(codes))), codes)
+
+
+def test_op5_finer_masks_share_out_the_bits_left():
+    for mask in (0, 0xFFFF, 2**64 - 8, 2**64 - 1):
+        more = simhash.finer(mask)
+        assert len(more) == 4 and all(m & mask == mask for m in more)
+        assert sum((m ^ mask).bit_count() for m in more) == 64 - mask.bit_count()
+        assert more[0] | more[1] | more[2] | more[3] == 2**64 - 1
+
+
 def test_op5_empty_and_long_chain(spark):
     assert simhash.classes(spark.createDataFrame([], DOCS)).count() == 0
     from weftline.llm.components import components

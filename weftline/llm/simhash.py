@@ -1,7 +1,8 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints at 3 or fewer differing bits agree on one of four 16-bit blocks at
-least, so each distinct fingerprint goes to the four buckets of its blocks. In a
+least, so each distinct fingerprint goes to the four buckets of its blocks. Large
+buckets are dealt again by blocks of the bits left, by the same rule. In a
 bucket the fingerprints are sorted by Gray rank and grouped, group by group, into
 a tree whose nodes hold the bits that all members share. The self-join walks pairs
 of nodes: differences accumulate over the bits newly shared at each level, a pair
@@ -16,6 +17,7 @@ per input row, repeated rows included; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from weftline.llm.text import lower_words
 from weftline.sources.shared import written
 
 LIMIT = 3
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS = LIMIT + 1
+#: Fingerprints of a bucket that one task holds.
+SPLIT = 1 << 17
 FAN = 8
 CHUNK = 1 << 18
 
@@ -176,11 +180,41 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield joined(keys, codes)
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) whose components are those of all links among the distinct fingerprints in column fp."""
-    block = [F.lit(i << BLOCK_BITS).bitwiseOR(F.shiftrightunsigned("fp", i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))).cast("long") for i in range(BLOCKS)]
-    dealt = fps.select(F.explode(F.array(*block)).alias("bucket"), "fp").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_bucket_links, "u long, v long")
+def finer(mask: int) -> list[int]:
+    """Masks that add one of BLOCKS parts of the other bits each: fingerprints linked and alike on mask are alike on one of them."""
+    free = np.array([i for i in range(64) if not mask >> i & 1], np.int64)
+    return [mask | sum(1 << int(i) for i in part) for part in np.array_split(free, BLOCKS)]
+
+
+def _long(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def fingerprint_links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Edges (u, v) whose components are those of all links among the distinct fingerprints in column fp.
+
+    A bucket holds the fingerprints alike on a mask's bits. Buckets of more than
+    split fingerprints are dealt again by masks with more bits, so no task holds
+    a larger one; after a few rounds too few bits are left to differ for that.
+    """
+    spark = fps.sparkSession
+    masks, open_, parts = [0], fps.select(F.lit(0).cast("long").alias("mask"), "fp"), []
+    while True:
+        of = {m: finer(m) for m in masks}
+        deal = F.create_map(*(x for m, more in of.items() for x in (F.lit(_long(m)), F.array(*(F.lit(_long(k)) for k in more)))))
+        dealt = open_.select(F.explode(F.element_at(deal, F.col("mask"))).alias("mask"), "fp")
+        dealt = dealt.withColumn("bucket", F.xxhash64("mask", F.col("mask").bitwiseAND(F.col("fp"))))
+        large = dealt.groupBy("bucket", F.col("mask").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split)
+        large = written(spark, large.select(F.col("bucket").alias("large"), "of"), "large")
+        masks = sorted(r.of % (1 << 64) for r in large.select("of").distinct().collect())  # four at first, four times as many a round at most
+        if not masks:
+            parts.append(dealt.select("bucket", "fp"))
+            break
+        marked = dealt.join(large, (F.col("bucket") == F.col("large")) & (F.col("mask") == F.col("of")), "left")
+        parts.append(marked.where("large IS NULL").select("bucket", "fp"))
+        open_ = written(spark, marked.where("large IS NOT NULL").select("mask", "fp"), "open")
+    buckets = reduce(DataFrame.union, parts).repartition("bucket").sortWithinPartitions("bucket")
+    return buckets.mapInArrow(_bucket_links, "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
