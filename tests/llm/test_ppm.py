@@ -93,3 +93,50 @@ def test_probabilities_of_a_context_add_up_to_one():
     p = np.exp(ppm.log_probabilities(every, ppm._at(u, n, every), low))
     _, total = ppm._sums(every >> 8, p)
     assert total == pytest.approx(np.ones(len(total)))
+
+
+def brute_documents(rows):
+    """PPM scores by dictionaries of contexts that reach over token starts, in the order of rows."""
+    coded = [b" " * 5 + b"".join(w + b" " for w in [*lower_words(t), b""]) for _, t in rows]
+    trie = defaultdict(Counter)
+    for (doc, _), s in zip(rows, coded):
+        if doc is not None and crc_fold(doc, 5) != 1:
+            for i in range(5, len(s)):
+                for k in range(6):
+                    trie[s[i - k : i]][s[i]] += 1
+
+    def symbol(context, x):
+        out, excluded = 0.0, set()
+        for k in range(5, -1, -1):
+            node = trie.get(context[5 - k :], {})
+            left = {s: c for s, c in node.items() if s not in excluded}
+            if x in left:
+                return out + math.log10(left[x] / (sum(left.values()) + len(left)))
+            if left:
+                out += math.log10(len(left) / (sum(left.values()) + len(left)))
+            excluded |= set(node)
+        return out - math.log10(256 - len(excluded))
+
+    return [sum(symbol(s[j - 5 : j], s[j]) for j in range(5, len(s))) for s in coded]
+
+
+def test_op9_contexts_reach_over_tokens(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ppm, "GROUP_BYTES", 20_000)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "Zz zz \x00 é 日本 zzzzzzzzzz"), (None, "null id"), (7, "same row"), (7, "same row"), (10**6 + 3, "long " * 5000)]
+    rows += [(10**6 + 4, "a rose is a rose"), (10**6 + 5, "rose a a is rose")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in ppm.op9_ppm(spark, str(tmp_path)).collect()))
+    want = sorted((i is None, i or 0, len(lower_words(t)) + 1, s) for (i, t), s in zip(rows, brute_documents(rows)))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9, abs=1e-9)
+    by_id = {g[1]: g[3] for g in got}
+    assert abs(by_id[10**6 + 4] - by_id[10**6 + 5]) > 0.1
+
+
+def test_slices_keep_their_contexts():
+    streams = [b"", b"ab", b"abcdefgh ijklmnop " * 5, b"xyz"]
+    code, owner = ppm.grams(streams)
+    for size in (1, 3, 7, 1000):
+        parts = list(ppm.sliced(enumerate(streams), size))
+        assert [c for p, _ in parts for c in p] == list(code) and [o for _, p in parts for o in p] == list(owner)

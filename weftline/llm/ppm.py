@@ -1,15 +1,17 @@
 """Language-model scores by prediction by partial matching over bytes, beside a smoothed unigram base.
 
 Text is lower-cased words, then one end. The model codes each token's bytes and a
-closing space, each byte from the ORDER bytes before it in the token (spaces
-before its start). Counts of all contexts come from the whole training part.
+closing space, each byte from the ORDER bytes before it in the document, across
+tokens (spaces before the document's start). Counts of all contexts come from the
+whole training part.
 A context escapes with as much weight as it has distinct symbols; symbols that it
 held are excluded from the shorter contexts below it; below order 0 all bytes
 left are alike. Code lengths add up to the log probability of the text.
 
 Nothing that grows with the corpus goes through the driver or one task. Documents
 are dealt to groups of about GROUP_BYTES. A group's distinct words and n-grams
-(context and symbol as one integer) are counted; n-grams of all groups meet by
+(context and symbol as one integer, of every position of its documents, SLICE
+bytes at a time) are counted; n-grams of all groups meet by
 the last two context bytes, where the trie below order 2 is a few sorted arrays,
 and go back with their log probability to the groups that hold them. The tables
 of orders 0 and 1 have at most 65,536 rows and travel with the tasks.
@@ -22,8 +24,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,20 +40,50 @@ ORDER = 5
 GROUP_BYTES = 16 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
+#: Bytes that are coded at a time, and distinct n-grams of a group that a task holds before it adds them up.
+SLICE, MERGE = 2 << 20, 2_000_000
 _PAD = b" " * ORDER
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (ORDER context bytes and the symbol) of all positions of these words, and the word of each."""
-    data = np.frombuffer(b"".join(_PAD + w + b" " for w in words), np.uint8).astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + ORDER + 1
-    owner = np.repeat(np.arange(len(words)), sizes)
-    within = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = np.flatnonzero(within < sizes[owner] - ORDER)
+def _coded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all symbols of these parts (each ORDER bytes of context, then symbols), and the part of each."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    owner = np.repeat(np.arange(len(parts)), sizes - ORDER)
+    start = np.arange(len(owner)) + owner * ORDER
     code = np.zeros(len(start), np.int64)
     for k in range(ORDER + 1):
-        code = code << 8 | data[start + k]
-    return code, owner[start]
+        code <<= 8
+        code |= data[start + k]
+    return code, owner
+
+
+def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (ORDER context bytes and the symbol) of all positions of these streams and their ends, and the stream of each."""
+    return _coded([_PAD + s + b" " for s in streams])
+
+
+def sliced(streams: Iterable[tuple[int, bytes]], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams of (owner, stream), about size bytes at a time; a longer stream is cut, with its context kept."""
+    parts, owners, held = [], [], 0
+    for owner, s in streams:
+        s = _PAD + s + b" "
+        for at in range(0, len(s) - ORDER, size):
+            parts.append(s[at : at + size + ORDER])
+            owners.append(owner)
+            held += len(parts[-1])
+            if held >= size:
+                code, part = _coded(parts)
+                yield code, np.array(owners)[part]
+                parts, owners, held = [], [], 0
+    if parts:
+        code, part = _coded(parts)
+        yield code, np.array(owners)[part]
+
+
+def streams(tokens: list[bytes], across: bool) -> list[bytes]:
+    """What contexts stay within: the whole document, or (not across) each token."""
+    return [b" ".join(tokens)] if across else tokens
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,26 +139,39 @@ def log_probabilities(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, n
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return parts[0] if len(parts) == 1 else _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
     """(grp, word, code, n) from (grp, learn, text): training counts of words (code null) and n-grams (word null)."""
     held: dict[int, Counter] = {}
+    waiting: dict[tuple[int, bool], list[bytes]] = defaultdict(list)
+    codes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+
+    def code_waiting():
+        for (grp, learn), some in waiting.items():
+            own = codes[grp]
+            for code, _ in sliced((0, s) for s in some):
+                u, n = np.unique(code, return_counts=True)
+                own.append((u, n if learn else np.zeros(len(u))))
+                if sum(len(u) for u, _ in own) > MERGE:
+                    own[:] = [_added(own)]
+        waiting.clear()
 
     def flush():
+        code_waiting()
         for grp, counts in held.items():
             words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             counts.clear()
             for i in range(0, len(words), 1 << 16):
                 w = words[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), grp)), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(n[i : i + len(w)])], ["grp", "word", "code", "n"])
-            parts = []
-            for i in range(0, len(words), 1 << 16):
-                code, owner = grams(words[i : i + (1 << 16)])
-                parts.append(_sums(code, n[i : i + (1 << 16)][owner]))
-            code, total = _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            code, total = _added(codes.pop(grp))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), grp)), pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(total.astype(np.int64))], ["grp", "word", "code", "n"])
         held.clear()
 
-    seen = 0
+    seen = size = 0
     for b in batches:
         for grp, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             words = lower_words(text)
@@ -136,7 +181,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.update(words)
             else:
                 counts.update(dict.fromkeys(words, 0))
+            waiting[grp, learn] += streams(words, across)
             seen += len(words)
+            size += len(text or "")
+            if size > SLICE:
+                size = 0
+                code_waiting()
             if seen > FLUSH // 4:  # looked at now and then: distinct words are fewer than words
                 seen = 0
                 if sum(map(len, held.values())) > FLUSH:
@@ -154,11 +204,14 @@ def _groups(docs: DataFrame) -> Column:
     return F.coalesce(F.size(F.filter(places, lambda c: c < F.col("id"))), F.lit(0)).cast("long")
 
 
-def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, learned, n_tokens, n_known, train_tokens, base_score, score); learn (over column id) marks the training rows."""
+def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
+    """(id, learned, n_tokens, n_known, train_tokens, base_score, score); learn (over column id) marks the training rows.
+
+    across: contexts reach over token starts (op9_ppm); otherwise each token is coded on its own.
+    """
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     grouped = src.select(_groups(src).alias("grp"), learn.alias("learn"), "text", "id")
-    parts = written(docs.sparkSession, grouped.select("grp", "learn", "text").mapInArrow(_counted, "grp long, word binary, code long, n long"), "parts")
+    parts = written(docs.sparkSession, grouped.select("grp", "learn", "text").mapInArrow(lambda batches: _counted(batches, across), "grp long, word binary, code long, n long"), "parts")
     words, codes = parts.where("word IS NOT NULL"), parts.where("code IS NOT NULL")
 
     # Each row of a word learns the word's whole count: one row a group (or task of it) and word, so
@@ -209,16 +262,17 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             place[w] = i
         for b in word_rows.to_batches(max_chunksize=1 << 16):
             c[np.fromiter(map(place.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows)] = b.column(1).to_numpy()
-        ppm = np.zeros(len(words))
-        for i in range(0, len(words), 1 << 15):
-            part = words[i : i + (1 << 15)]
-            g, owner = grams(part)
-            ppm[i : i + len(part)] = np.bincount(owner, weights=lp[np.searchsorted(code, g)], minlength=len(part))
+        ppm = np.zeros(left.num_rows)
+        for g, owner in sliced((i, s) for i, (tokens_, _) in enumerate(token_lists()) for s in streams(tokens_, across)):
+            g, inverse = np.unique(g, return_inverse=True)
+            first = owner[0]
+            own = np.bincount(owner - first, weights=lp[np.searchsorted(code, g)][inverse])
+            ppm[first : first + len(own)] += own
         base = np.log10(c + 0.5) - floor
         out = []
-        for tokens_, _ in token_lists():
+        for i, (tokens_, _) in enumerate(token_lists()):
             at = np.fromiter(map(place.__getitem__, tokens_), np.int64, len(tokens_))
-            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(ppm[at].sum())))
+            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(ppm[i])))
         n, known, b, s = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({"id": left.column("id"), "learned": left.column("learn"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64())})
 
@@ -229,5 +283,5 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 def op9_ppm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = in_fold(F.col("id"), 5, 1)
-    out = scores(docs, ~held & F.col("id").isNotNull())
+    out = scores(docs, ~held & F.col("id").isNotNull(), across=True)
     return out.select(F.col("id").alias("doc_id"), (~F.col("learned") & F.col("id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
