@@ -33,15 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from weftline.llm.text import in_fold, lower_words
+from weftline.llm.text import in_fold, in_parts, lower_words
 from weftline.sources.shared import written
 
 ORDER = 5
 GROUP_BYTES = 16 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
-#: Bytes that are coded at a time, and distinct n-grams of a group that a task holds before it adds them up.
-SLICE, MERGE = 2 << 20, 2_000_000
+#: Bytes that are coded at a time, and n-grams beside a group's distinct ones that a task holds at least before it adds them up.
+SLICE, MERGE = 1 << 19, 250_000
 _PAD = b" " * ORDER
 
 
@@ -50,7 +50,8 @@ def _coded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     owner = np.repeat(np.arange(len(parts)), sizes - ORDER)
-    start = np.arange(len(owner)) + owner * ORDER
+    start = owner * ORDER
+    start += np.arange(len(owner))
     code = np.zeros(len(start), np.int64)
     for k in range(ORDER + 1):
         code <<= 8
@@ -155,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
             for code, _ in sliced((0, s) for s in some):
                 u, n = np.unique(code, return_counts=True)
                 own.append((u, n if learn else np.zeros(len(u))))
-                if sum(len(u) for u, _ in own) > MERGE:
+                if sum(len(u) for u, _ in own[1:]) > max(MERGE, len(own[0][0])):
                     own[:] = [_added(own)]
         waiting.clear()
 
@@ -172,7 +173,7 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
         held.clear()
 
     seen = size = 0
-    for b in batches:
+    for b in (part for batch in batches for part in in_parts(batch, 2)):
         for grp, learn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             words = lower_words(text)
             words.append(b"")
@@ -223,7 +224,10 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     # A group counts its own words anew; it is told of those that others hold too.
     in_group = counted.where("c > n").select("grp", "word", "c")
 
-    total = codes.groupBy("code").agg(F.sum("n").alias("n"))
+    # One shuffle by code serves the sums and the way back to the groups: both read all its columns, so Spark makes it once.
+    dealt = codes.select("grp", "code", "n").repartition("code")
+    total = dealt.groupBy("code").agg(F.sum(F.when(F.col("grp").isNotNull(), F.col("n"))).alias("n"))
+    in_groups = dealt.groupBy("code", "grp").agg(F.sum("n").alias("n"))
     rows = codes.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect()  # two bytes: 65,536 at most
     rows.sort()
     low = (np.array([r.k for r in rows], np.int64), np.array([r.n for r in rows], float))
@@ -234,7 +238,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     by_context = total.groupBy(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
     lp = by_context.applyInArrow(evaluate, "code long, lp double")
-    codes_in_group = codes.select("grp", "code").join(lp, "code").select("grp", "code", "lp")
+    codes_in_group = in_groups.join(lp, "code").select("grp", "code", F.when(F.col("n").isNotNull(), F.col("lp")).alias("lp"))
     table = in_group.select("grp", "word", "c", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("lp")).union(
         codes_in_group.select("grp", F.lit(None).cast("binary"), F.lit(None).cast("long"), "code", "lp")
     )
