@@ -42,6 +42,8 @@ GROUP_BYTES = 16 << 20
 FLUSH = 400_000
 #: Bytes that are coded at a time, and n-grams beside a group's distinct ones that a task holds at least before it adds them up.
 SLICE, MERGE = 1 << 19, 250_000
+#: Distinct n-grams that a task holds before it hands them on.
+FLUSH_CODES = 4_000_000
 _PAD = b" " * ORDER
 
 
@@ -160,16 +162,20 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
                     own[:] = [_added(own)]
         waiting.clear()
 
-    def flush():
+    def flush_codes():
         code_waiting()
+        for grp, own in codes.items():
+            code, total = _added(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), grp)), pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(total.astype(np.int64))], ["grp", "word", "code", "n"])
+        codes.clear()
+
+    def flush():
         for grp, counts in held.items():
             words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             counts.clear()
             for i in range(0, len(words), 1 << 16):
                 w = words[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), grp)), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(n[i : i + len(w)])], ["grp", "word", "code", "n"])
-            code, total = _added(codes.pop(grp))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), grp)), pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(total.astype(np.int64))], ["grp", "word", "code", "n"])
         held.clear()
 
     seen = size = 0
@@ -188,11 +194,14 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
             if size > SLICE:
                 size = 0
                 code_waiting()
+                if sum(len(u) for own in codes.values() for u, _ in own) > FLUSH_CODES:
+                    yield from flush_codes()
             if seen > FLUSH // 4:  # looked at now and then: distinct words are fewer than words
                 seen = 0
                 if sum(map(len, held.values())) > FLUSH:
                     yield from flush()
     yield from flush()
+    yield from flush_codes()
 
 
 def _groups(docs: DataFrame) -> Column:
@@ -215,9 +224,10 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     parts = written(docs.sparkSession, grouped.select("grp", "learn", "text").mapInArrow(lambda batches: _counted(batches, across), "grp long, word binary, code long, n long"), "parts")
     words, codes = parts.where("word IS NOT NULL"), parts.where("code IS NOT NULL")
 
-    # Each row of a word learns the word's whole count: one row a group (or task of it) and word, so
-    # the rows of the commonest word are as many as there are groups.
+    # Each row of a word learns the word's whole count: one row a group and word (added up where the
+    # shuffle by word brings them), so the rows of the commonest word are as many as there are groups.
     own = W.partitionBy("word")
+    words = words.select("grp", "word", "n").repartition("word").groupBy("word", "grp").agg(F.sum("n").alias("n"))
     counted = words.withColumn("c", F.sum("n").over(own)).withColumn("first", F.row_number().over(own.orderBy("grp")) == 1)
     counted = written(docs.sparkSession, counted, "words")
     tokens, distinct = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
