@@ -102,3 +102,32 @@ def test_folds(spark):
     ids = [0, 1, 17, 123456789, None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select(in_fold(F.col("i"), 3, 1)).collect()
     assert [r[0] for r in got] == [crc_fold(i, 3) == 1 for i in ids]
+
+
+def test_op8_threshold_keeps_the_recall_where_labels_overlap():
+    rng = np.random.default_rng(7)
+    pad = lambda w: secrets.window(w.encode(), 0, len(w))
+    hexed = lambda: "".join(rng.choice(list("0123456789abcdef"), 24))
+    other = lambda: "version-%d.release" % rng.integers(10**6)
+    x = secrets.as_array([pad(hexed()) for _ in range(240)] + [pad(other()) for _ in range(360)])
+    y = np.array([1.0] * 300 + [0.0] * 300)  # every fifth finding looks like other runs
+    net = secrets.CharCNN()
+    net.fit(x, y)
+    net.calibrate(x, y, 0.98)
+    assert (net.probability(x[y == 1]) >= net.threshold).mean() >= 0.98
+    blanked = np.arange(600) < 240
+    net.calibrate(x, y, 0.98, blanked)
+    assert 0.98 <= (net.probability(x[blanked]) >= net.threshold).mean() < 1
+
+
+def test_op8_model_spans_found_in_texts(spark):
+    rng = np.random.default_rng(8)
+    hexed = lambda: "".join(rng.choice(list("0123456789abcdef"), 24))
+    about = lambda: " ".join(rng.choice("read some words before it and then more of note they say".split(), 4))
+    texts = [f"{about()} {('token = ', 'token=')[i % 2]}{hexed()} {about()}" for i in range(300)]
+    texts += [f"{about()} chapter{i}introduction {about()} version-{i}.release {about()}" for i in range(300)]
+    net = secrets.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = secrets.spans_of([f"see note {hexed()} {about()}" for _ in range(200)], net)
+    assert sum(f == [(9, 33, 3)] for f in found) >= 196
+    for b, s in ((b"x token=abcdefgh1234 y", 2), (b"x token = abcdefgh1234 y", 10)):
+        assert secrets.window(b, *(lambda at, left: (at, b.index(b" y"), left))(*secrets.keyless(b, s, b.index(b" y"), secrets.base_spans(b, 20)))) == secrets.window(b"x abcdefgh1234 y", 2, 14)

@@ -3,10 +3,11 @@
 Rules find assigned values, access keys and long hexadecimal runs. Candidates
 are all runs of 12 or more token characters with a letter and a digit that no
 rule covers; the network reads each with the text around it. It is trained on the
-rules' own findings against other runs of the same texts, with the naming key
-blanked in half of the examples, so that the shape of a value counts by itself.
+rules' own findings against other runs of the same texts, with the naming key cut
+out of half of the findings, so that the shape of a value counts by itself.
 Its outputs are calibrated on a held-back part, and the threshold is the largest
-that keeps the wanted recall there. Rule spans always stay.
+that keeps the wanted recall of the findings there whose key is cut out. Rule spans
+always stay.
 
 A null text is empty; it and an empty table give no spans. Very long texts are
 scanned whole. Repeated rows each get their spans. Where fewer than MIN_EXAMPLES
@@ -77,12 +78,22 @@ def located(b: bytes, tokens: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def window(b: bytes, start: int, end: int, blank_left: bool = False) -> bytes:
-    left = b[max(0, start - LEFT) : start]
-    left = b" " * len(left) if blank_left else left
+def window(b: bytes, start: int, end: int, left_end: int | None = None) -> bytes:
+    """A run and the text around it; the text before it ends at left_end, if given (where a key is cut out)."""
+    left_end = start if left_end is None else left_end
+    left = b[max(0, left_end - LEFT) : left_end]
     return left.rjust(LEFT, b"\0") + b[start : min(end, start + BODY)].ljust(BODY, b"\0") + b[end : end + RIGHT].ljust(RIGHT, b"\0")
 
 
+def keyless(b: bytes, start: int, end: int, spans: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """Where the value of a run begins and where the text before its key ends; both start if no key names it."""
+    for x, y, kind in spans:
+        if kind == 0 and x < end and start < y:
+            value = ASSIGN.match(b, x).start(2)
+            return max(start, value), x
+    return start, start
+
+
 def mixed(w: bytes) -> bool:
     return bool(DIGITS.search(w) and LETTERS.search(w))
 
@@ -134,16 +145,18 @@ class CharCNN:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 256])[0] for i in range(0, len(x), 256)] or [np.zeros(0)])
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Logistic scaling of the outputs, then the largest threshold that keeps this recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, keyless: np.ndarray | None = None) -> None:
+        """Logistic scaling of the outputs, then the largest threshold that keeps this recall of the findings
+        (of those marked in keyless, if there are any: candidates show no key)."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         for _ in range(300):
             d = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y
             a, b = a - 0.02 * ((d * z).mean() + 0.01 * (a - 1)), b - 0.02 * d.mean()
         self.scale, self.shift = a, b
-        found = np.sort(self.probability(x[y == 1]))
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 1.0
+        wanted = y == 1 if keyless is None or not keyless.any() else keyless
+        found = np.sort(self.probability(x[wanted]))
+        self.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 1.0
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
@@ -154,7 +167,7 @@ def as_array(windows: list[bytes]) -> np.ndarray:
 
 
 def _examples(docs: DataFrame) -> DataFrame:
-    """(label, window) of the token runs of these documents: 1 where a rule's span touches the run."""
+    """(label, window) of the token runs of these documents: where a rule's span touches the run, 1, or 2 with the key cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +181,10 @@ def _examples(docs: DataFrame) -> DataFrame:
                     hit = any(s < y and x < e for x, y, _ in base)
                     plain += not hit and not mixed(w)
                     if hit and e - s >= MIN_CANDIDATE or not hit and (mixed(w) or plain <= 4):
-                        label.append(int(hit))
-                        windows.append(window(b, s, e, hit and len(label) % 2 == 0))
+                        cut = hit and len(label) % 2 == 1
+                        label.append(int(hit) + cut)
+                        at, left_end = keyless(b, s, e, base) if cut else (s, s)
+                        windows.append(window(b, at, e, left_end))
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.binary())], ["label", "window"])
 
     return docs.mapInArrow(run, "label int, window binary")
@@ -184,9 +199,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     n = src.agg(F.count_if(some), F.count_if(~some)).first()
     found, other = least_hashes(src.where(some), FINDING_DOCS, n=n[0]), least_hashes(src.where(~some), OTHER_DOCS, n=n[1])
     windows = [written(docs.sparkSession, _examples(d.select("text")).distinct().withColumn("h", F.xxhash64("window")), "examples") for d in (found, other)]
-    rows = [r for w in windows for k in (0, 1) for r in w.where(F.col("label") == k).orderBy("h").limit(EXAMPLES).collect()]
+    rows = [r for w in windows for k in (False, True) for r in w.where((F.col("label") > 0) == k).orderBy("h").limit(EXAMPLES).collect()]
     rows = list({bytes(r.window): r for r in rows}.values())
-    y = np.array([r.label for r in rows], float)
+    y = np.array([r.label > 0 for r in rows], float)
+    cut = np.array([r.label == 2 for r in rows])
     if min((y == 1).sum(), (y == 0).sum()) < MIN_EXAMPLES:
         return None
     x = as_array([bytes(r.window) for r in rows])
@@ -195,7 +211,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     net = CharCNN(seed)
     keep = ~held if not held.all() else held
     net.fit(x[keep], y[keep])
-    net.calibrate(x[held], y[held], recall)
+    net.calibrate(x[held], y[held], recall, cut[held])
     return net
 
 
