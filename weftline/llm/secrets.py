@@ -1,8 +1,9 @@
 """Secret scans: rule matches, and a character convolutional network over every other candidate.
 
 Rules find assigned values, access keys and long hexadecimal runs. Candidates
-are all runs of 12 or more token characters with a letter and a digit that no
-rule covers; the network reads each with the text around it. It is trained on the
+are all runs of 12 or more token characters with a letter and a digit, or what a
+rule's spans leave of a run; the network reads each in overlapping windows, with the
+text around them, and the highest output counts. It is trained on the
 rules' own findings against other runs of the same texts, with the naming key cut
 out of half of the findings, so that the shape of a value counts by itself.
 Its outputs are calibrated on a held-back part, and the threshold is the largest
@@ -42,6 +43,7 @@ TO_TOKENS = bytes(c if c in TOKEN_BYTES else 32 for c in range(256))
 DIGITS = re.compile(rb"[0-9]")
 LETTERS = re.compile(rb"[A-Za-z]")
 LEFT, BODY, RIGHT = 24, 40, 16
+STEP = BODY // 2
 WINDOW = LEFT + BODY + RIGHT
 #: Bounds of the training sample: documents with findings, other documents, examples of either label.
 FINDING_DOCS, OTHER_DOCS, EXAMPLES = 1500, 1000, 6000
@@ -85,6 +87,23 @@ def window(b: bytes, start: int, end: int, left_end: int | None = None) -> bytes
     return left.rjust(LEFT, b"\0") + b[start : min(end, start + BODY)].ljust(BODY, b"\0") + b[end : end + RIGHT].ljust(RIGHT, b"\0")
 
 
+def bodies(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping places of BODY bytes that cover a run, the last one at its end."""
+    return [(at, at + BODY) for at in range(start, end - BODY, STEP)] + [(max(start, end - BODY), end)]
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no span (in order of their starts) covers."""
+    out = []
+    for x, y, _ in spans:
+        if x >= end:
+            break
+        if x > start:
+            out.append((start, x))
+        start = max(start, y)
+    return [*out, (start, end)] if start < end else out
+
+
 def keyless(b: bytes, start: int, end: int, spans: list[tuple[int, int, int]]) -> tuple[int, int]:
     """Where the value of a run begins and where the text before its key ends; both start if no key names it."""
     for x, y, kind in spans:
@@ -177,14 +196,20 @@ def _examples(docs: DataFrame) -> DataFrame:
                 tokens = runs(b, 8)
                 base = base_spans(b, max(map(len, tokens), default=0))
                 plain = 0
-                for (s, e), w in zip(located(b, tokens), tokens, strict=True):
-                    hit = any(s < y and x < e for x, y, _ in base)
-                    plain += not hit and not mixed(w)
-                    if hit and e - s >= MIN_CANDIDATE or not hit and (mixed(w) or plain <= 4):
+                for s, e in located(b, tokens):
+                    # What the spans leave of a run is no example of other runs: it may belong to the secret.
+                    rest = outside(s, e, base)
+                    hit = rest != [(s, e)]
+                    if hit:
+                        s, e = rest[0][1] if rest and rest[0][0] == s else s, rest[-1][0] if rest and rest[-1][1] == e else e
+                    plain += not hit and not mixed(b[s:e])
+                    if hit and e - s >= MIN_CANDIDATE or not hit and (mixed(b[s:e]) or plain <= 4):
                         cut = hit and len(label) % 2 == 1
                         label.append(int(hit) + cut)
                         at, left_end = keyless(b, s, e, base) if cut else (s, s)
-                        windows.append(window(b, at, e, left_end))
+                        for x, y in bodies(at, e):
+                            windows.append(window(b, x, y, left_end if x == at else None))
+                        label += label[-1:] * (len(windows) - len(label))
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(windows, pa.binary())], ["label", "window"])
 
     return docs.mapInArrow(run, "label int, window binary")
@@ -217,7 +242,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
 
 def spans_of(texts: list[str | None], net: CharCNN | None) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) of each text in code points, by start and kind; the network sees all their candidates at once."""
-    found, windows, owner, places, raw = [], [], [], [], []
+    found, windows, first, owner, places, raw = [], [], [], [], [], []
     for i, t in enumerate(texts):
         b = (t or "").encode()
         tokens = runs(b)
@@ -226,12 +251,14 @@ def spans_of(texts: list[str | None], net: CharCNN | None) -> list[list[tuple[in
         found.append(base)
         if net is not None and (some := [w for w in tokens if mixed(w)]):
             for s, e in located(b, some):
-                if not any(s < y and x < e for x, y, _ in base):
-                    windows.append(window(b, s, e))
-                    owner.append(i)
-                    places.append((s, e, 3))
+                for x, y in outside(s, e, base):
+                    if y - x >= MIN_CANDIDATE and mixed(b[x:y]):
+                        first.append(len(windows))
+                        windows += [window(b, *body) for body in bodies(x, y)]
+                        owner.append(i)
+                        places.append((x, y, 3))
     if windows:
-        for i, place, p in zip(owner, places, net.probability(as_array(windows)), strict=True):
+        for i, place, p in zip(owner, places, np.maximum.reduceat(net.probability(as_array(windows)), first), strict=True):
             if p >= net.threshold:
                 found[i].append(place)
     for i, spans in enumerate(found):
