@@ -57,3 +57,18 @@ def test_op6_edges(spark, monkeypatch):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = neighbours.search(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_op6_every_query_gets_its_rows(spark):
+    rng = np.random.default_rng(3)
+    tight = lambda c, n: [(c + rng.normal(size=8) * 1e-3).tolist() for _ in range(n)]
+    vectors = [[1.0] * 8] * 3000 + [v for _ in range(8) for v in tight(rng.normal(size=8) * 5, 8)]
+    order = rng.permutation(len(vectors))
+    rows = [(int(5 * i), vectors[o]) for i, o in enumerate(order)] + [(0, [2.0] * 8), (0, [3.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ids = [i for i, _ in rows]
+    for some, n in ((df, 20), (df.where("vec_id < 90"), 19)):
+        got = neighbours.search(some, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
+        want = {i for i in ids if i % 20 == 0 and (n == 20 or i < 90)}
+        assert {r.query_id for r in got} == want
+        assert [r for r in got if r["count"] != n and (n == 20 or r.query_id)] == []

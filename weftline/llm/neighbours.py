@@ -10,7 +10,9 @@ by the inner product of the original vectors, in double precision.
 
 Each query first scans its nearest list, which gives its k-th best so far; then
 its further lists. How many is the least that finds RECALL of the true neighbours
-of PROBE_QUERIES queries, whose neighbours are searched in all rows.
+of PROBE_QUERIES queries, whose neighbours are searched in all rows; those that find
+all of theirs in the nearest list do not weigh in. A query whose lists hold too few
+candidates goes on to as many further lists as it takes for k rows, in the end to all.
 
 Long lists are cut into pieces of ROWS_A_PIECE rows, and their queries into pieces
 too; no task holds more than a piece of each. Equal vectors (a third of all rows,
@@ -81,10 +83,10 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int, qid: np.ndarray, xid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that may be among the k nearest: rotated vectors in column blocks, dropped early.
 
-    bound: squared distance of each query's k-th best so far; it falls as rows are scanned.
+    Rows of the query's own id are left out. bound: squared distance of each query's k-th best so far; it falls as rows are scanned.
     """
     dim, out_q, out_x = q.shape[1], [], []
     bound = bound.copy()
@@ -95,6 +97,8 @@ def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.nd
         a, b = q[:, :seen], part[:, :seen]
         d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
         pq, px = np.nonzero(d <= (bound * (seen / dim) * (1 + EPSILON / seen**0.5) ** 2)[:, None])
+        other = qid[pq] != xid[i + px]
+        pq, px = pq[other], px[other]
         far = d[pq, px]
         while seen < dim and len(pq):
             nxt = min(seen + BLOCK, dim)
@@ -152,9 +156,7 @@ class Index:
                 length = (part * part).sum(1)
                 least_part = least[i : i + QUERY_BLOCK]
                 limit = np.where(np.isnan(least_part), np.inf, (length + self.longest**2 - 2 * least_part) * (1 + _SLACK) + _SLACK)
-                a, b = scan(self.turned(part, False), tx, limit.astype(np.float32), k + 1)
-                other = qid[i + a] != xid[b]
-                a, b = a[other], b[other]
+                a, b = scan(self.turned(part, False), tx, limit.astype(np.float32), k, qid[i : i + QUERY_BLOCK], xid)
                 score = np.einsum("ij,ij->i", part[a], x[b].astype(np.float64))
                 keep = top_of(qid[i + a], xid[b], score, k)
                 out.append((qid[i + a][keep], xid[b][keep], score[keep]))
@@ -188,18 +190,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
     listed = written(spark, rows.mapInArrow(assign, f"vec_id long, v array<{dict(vectors.dtypes)[vector_col][6:-1]}>, list long"), "listed")
     queries = listed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("vec_id", F.lit(seed + 1)).alias("h"))
 
+    sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_LISTS rows
+    rows_of = np.zeros(len(index.centres), np.int64)
+    for r in sizes:
+        rows_of[r["list"]] = r["n"]
+    own_rows = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
     def probes(first: int, last: int):
+        """Lists from first on, up to last, or beyond it until they hold k candidates (not for the nearest alone)."""
+
         def run(batches):
             for b in batches:
                 q = matrix(b.column(1), dim)
-                at = nearest(lengthened(q, None), index.centres, max(last, 2))[:, first:last]
-                take = pa.array(np.repeat(np.arange(len(q)), at.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(at.ravel().astype(np.int64))], ["query_id", "q", "bound", "list"])
+                at = nearest(lengthened(q, None), index.centres, max(2, len(rows_of)))
+                enough = (np.cumsum(rows_of[at], axis=1) < k + own_rows).sum(1) + 1
+                stop = np.maximum(last, enough) if first else np.full(len(q), last)
+                place = np.arange(at.shape[1])[None]
+                use = (place >= first) & (place < stop[:, None]) & (rows_of[at] > 0)
+                take = pa.array(np.repeat(np.arange(len(q)), use.sum(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(at[use].astype(np.int64))], ["query_id", "q", "bound", "list"])
 
         return run
 
     query_type = dict(listed.dtypes)["v"]
-    sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_LISTS rows
 
     def scanned(asked: DataFrame) -> DataFrame:
         """The k best of each query in the lists it asks for."""
@@ -231,17 +244,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
     true = _ranked(listed.mapInArrow(brute, "query_id long, vec_id long, score double, list long"), k).select("query_id", "list").collect()
     order = nearest(lengthened(pq, None), index.centres, max(2, len(index.centres)))
     place = {(int(i), int(c)): r for i, row in zip(pid, order, strict=True) for r, c in enumerate(row)}
-    ranks = np.sort([place[r.query_id, r["list"]] for r in true])
-    lists = int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1 if len(ranks) else len(index.centres)
+    of: dict[int, list[int]] = {}
+    for r in true:
+        of.setdefault(r.query_id, []).append(place[r.query_id, r["list"]])
+    # Queries that need no further list (hot equal vectors, say) would only lower the number for the others.
+    ranks = np.sort([x for own in of.values() if max(own) for x in own])
+    lists = int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1 if len(ranks) else 1
 
     schema = f"query_id long, q {query_type}, bound double, list long"
     asked = queries.select("query_id", "q", F.lit(None).cast("double").alias("bound"))
     first = written(spark, scanned(asked.mapInArrow(probes(0, 1), schema)), "first")
-    found = first
-    if lists > 1:
-        bounds = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("b"), F.col("score").alias("bound"))
-        more = queries.join(bounds, F.col("query_id") == F.col("b"), "left").select("query_id", "q", "bound")
-        found = first.union(scanned(written(spark, more.mapInArrow(probes(1, lists), schema), "asked")))
+    bounds = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("b"), F.col("score").alias("bound"))
+    more = queries.join(bounds, F.col("query_id") == F.col("b"), "left").select("query_id", "q", "bound")
+    found = first.union(scanned(written(spark, more.mapInArrow(probes(1, lists), schema), "asked")))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
