@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,15 +10,15 @@ from weftline.llm.text import crc_fold, in_fold, lower_words
 
 
 def brute(rows):
-    """base and PPM scores, by dictionaries of contexts."""
+    """base and PPM scores, by dictionaries of contexts that reach over token starts."""
     train = [lower_words(t) + [b""] for i, t in rows if i is not None and crc_fold(i, 5) != 1]
     counts = Counter(w for d in train for w in d)
+    coded = lambda tokens: b" " * 5 + b"".join(w + b" " for w in tokens)
     trie = defaultdict(Counter)
-    for w, c in counts.items():
-        s = b" " * 5 + w + b" "
+    for s in map(coded, train):
         for i in range(5, len(s)):
             for k in range(6):
-                trie[s[i - k : i]][s[i]] += c
+                trie[s[i - k : i]][s[i]] += 1
     n, v = sum(counts.values()), len(counts)
 
     def symbol(context, x):
@@ -34,10 +35,8 @@ def brute(rows):
 
     for i, t in rows:
         tokens = lower_words(t) + [b""]
-        score = 0.0
-        for w in tokens:
-            s = b" " * 5 + w + b" "
-            score += sum(symbol(s[j - 5 : j], s[j]) for j in range(5, len(s)))
+        s = coded(tokens)
+        score = sum(symbol(s[j - 5 : j], s[j]) for j in range(5, len(s)))
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
         yield i, i is not None and crc_fold(i, 5) == 1, len(tokens), sum(counts[w] > 0 for w in tokens), n, base, score
 
@@ -83,60 +82,46 @@ def test_the_model_predicts_held_out_text_better_than_byte_frequencies(spark):
 
 
 def test_probabilities_of_a_context_add_up_to_one():
-    import numpy as np
-
-    words = [b"aba", b"abb", b"ba", b"abab"]
-    code, owner = ppm.grams(words)
+    code = np.concatenate([ppm.codes_of(b" " * 5 + w + b" ") for w in (b"aba", b"abb", b"ba", b"abab")])
     every = np.unique(np.concatenate([(c & ~0xFF) | np.arange(256) for c in code] + [((0x7A7A7A0000 + 0x6162) << 8) | np.arange(256)]))
     u, n = ppm._sums(code, np.ones(len(code)))
-    low = ppm._sums(code & 0xFFFF, np.ones(len(code)))
-    p = np.exp(ppm.log_probabilities(every, ppm._at(u, n, every), low))
+    low, two = (ppm._sums(code & m, np.ones(len(code))) for m in (0xFFFF, 0xFFFFFF))
+    p = np.exp(ppm.log_probabilities(every, ppm._at(u, n, every), low, two))
     _, total = ppm._sums(every >> 8, p)
     assert total == pytest.approx(np.ones(len(total)))
 
 
-def brute_documents(rows):
-    """PPM scores by dictionaries of contexts that reach over token starts, in the order of rows."""
-    coded = [b" " * 5 + b"".join(w + b" " for w in [*lower_words(t), b""]) for _, t in rows]
-    trie = defaultdict(Counter)
-    for (doc, _), s in zip(rows, coded):
-        if doc is not None and crc_fold(doc, 5) != 1:
-            for i in range(5, len(s)):
-                for k in range(6):
-                    trie[s[i - k : i]][s[i]] += 1
-
-    def symbol(context, x):
-        out, excluded = 0.0, set()
-        for k in range(5, -1, -1):
-            node = trie.get(context[5 - k :], {})
-            left = {s: c for s, c in node.items() if s not in excluded}
-            if x in left:
-                return out + math.log10(left[x] / (sum(left.values()) + len(left)))
-            if left:
-                out += math.log10(len(left) / (sum(left.values()) + len(left)))
-            excluded |= set(node)
-        return out - math.log10(256 - len(excluded))
-
-    return [sum(symbol(s[j - 5 : j], s[j]) for j in range(5, len(s))) for s in coded]
-
-
-def test_op9_contexts_reach_over_tokens(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(ppm, "GROUP_BYTES", 20_000)
-    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60).collect()]
-    rows += [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "Zz zz \x00 é 日本 zzzzzzzzzz"), (None, "null id"), (7, "same row"), (7, "same row"), (10**6 + 3, "long " * 5000)]
-    rows += [(10**6 + 4, "a rose is a rose"), (10**6 + 5, "rose a a is rose")]
+def test_op9_order_of_words_counts_and_hot_ids_are_shared_out(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ppm, "GROUP_BYTES", 3_000)
+    monkeypatch.setattr(ppm, "BUCKET", 500)
+    rows = [(i, f"a rose is a rose {i} times") for i in range(40)] + [(None, f"no id {i} here") for i in range(60)] + [(7, f"one id {i} on many rows") for i in range(60)]
+    rows += [(2**62, "far away"), (-(2**63), "least id"), (10**6 + 4, "a rose is a rose"), (10**6 + 5, "rose a a is rose"), (3, "same row"), (3, "same row")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in ppm.op9_ppm(spark, str(tmp_path)).collect()))
-    want = sorted((i is None, i or 0, len(lower_words(t)) + 1, s) for (i, t), s in zip(rows, brute_documents(rows)))
-    assert [g[:3] for g in got] == [w[:3] for w in want]
-    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9, abs=1e-9)
-    by_id = {g[1]: g[3] for g in got}
+    got = ppm.op9_ppm(spark, str(tmp_path)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()
+    close(got, brute(rows))
+    by_id = {g[0]: g[6] for g in got}
     assert abs(by_id[10**6 + 4] - by_id[10**6 + 5]) > 0.1
+    grp, n = ppm._groups(spark.createDataFrame(rows, "id long, text string"))
+    counts = [r[1] for r in spark.createDataFrame(rows, "id long, text string").groupBy(grp.alias("g")).count().collect()]
+    assert n >= len(counts) > 4 and max(counts) < 70
 
 
 def test_slices_keep_their_contexts():
     streams = [b"", b"ab", b"abcdefgh ijklmnop " * 5, b"xyz"]
-    code, owner = ppm.grams(streams)
+    whole = [ppm.codes_of(b" " * 5 + s) for s in streams]
     for size in (1, 3, 7, 1000):
         parts = list(ppm.sliced(enumerate(streams), size))
-        assert [c for p, _ in parts for c in p] == list(code) and [o for _, p in parts for o in p] == list(owner)
+        assert [c for p in parts for c in p.symbols()] == [c for w in whole for c in w]
+        total = np.zeros(len(streams), np.int64)
+        for p in parts:
+            np.add.at(total, p.owners, p.sums(p.codes & 0xFFFF))
+        assert total.tolist() == [int((w & 0xFFFF).sum()) for w in whole]
+    assert whole[1].tolist() == [0x202020202061, 0x202020206162]
+
+
+def test_codes_find_values_through_collisions():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 48, 5000))
+    table = ppm.Codes(codes[::2].copy(), np.arange(len(codes[::2]), dtype=float))
+    value, found = table[codes]
+    assert found.tolist() == [i % 2 == 0 for i in range(len(codes))] and (value[::2] == np.arange(len(codes[::2]))).all()

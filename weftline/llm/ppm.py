@@ -8,18 +8,21 @@ A context escapes with as much weight as it has distinct symbols; symbols that i
 held are excluded from the shorter contexts below it; below order 0 all bytes
 left are alike. Code lengths add up to the log probability of the text.
 
-Nothing that grows with the corpus goes through the driver or one task. Documents
-are dealt to groups of about GROUP_BYTES. A group's distinct words and n-grams
-(context and symbol as one integer, of every position of its documents, SLICE
-bytes at a time) are counted; n-grams of all groups meet by
-the last two context bytes, where the trie below order 2 is a few sorted arrays,
-and go back with their log probability to the groups that hold them. The tables
-of orders 0 and 1 have at most 65,536 rows and travel with the tasks.
-
-A null text is empty (the end only). Null ids are held in the first group and are
-never part of the training. Repeated rows each count and each get a score. With
-nothing to learn from, tokens score 0 in the base and bytes are uniform. An empty
-table gives an empty table.
+Nothing that grows with the corpus goes through the driver or one task, but one
+number for each fourth of GROUP_BYTES of text. Documents are dealt to groups of
+about that size: ranges of ids, and shares by hash of the text where a range is
+larger (null ids are such a range). Tasks count the distinct words and n-grams
+(context and symbol as one integer) of each group as they read its texts, SLICE
+bytes at a time. The distinct n-grams of all groups meet in buckets by hash of the
+last three context bytes, with the order-2 rows below them; the tables of orders 0
+and 1 have at most 65,536 rows and travel with the tasks. Log probabilities and
+word counts go back to the groups that asked for them, packed; a task holds one
+group's, while the texts stream past.
+
+A null text is empty (the end only). Null ids are never part of the training.
+Repeated rows each count and each get a score. Texts are read whole, however long.
+With nothing to learn from, tokens score 0 in the base and bytes are uniform. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,70 +31,79 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from weftline.llm.text import in_fold, in_parts, lower_words
 from weftline.sources.shared import written
 
 ORDER = 5
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 64 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 #: Bytes that are coded at a time, and n-grams beside a group's distinct ones that a task holds at least before it adds them up.
-SLICE, MERGE = 1 << 19, 250_000
-#: Distinct n-grams that a task holds before it hands them on.
-FLUSH_CODES = 4_000_000
+SLICE, MERGE = 1 << 21, 500_000
+#: Distinct n-grams that a task holds before it hands them on, and rows that it packs at a time.
+FLUSH_CODES, PACKED = 4_000_000, 1_000_000
+#: Counted n-grams for each bucket of contexts.
+BUCKET = 100_000
 _PAD = b" " * ORDER
 
 
-def _coded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all symbols of these parts (each ORDER bytes of context, then symbols), and the part of each."""
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    owner = np.repeat(np.arange(len(parts)), sizes - ORDER)
-    start = owner * ORDER
-    start += np.arange(len(owner))
-    code = np.zeros(len(start), np.int64)
-    for k in range(ORDER + 1):
-        code <<= 8
-        code |= data[start + k]
-    return code, owner
+def codes_of(padded: bytes) -> np.ndarray:
+    """Codes (ORDER context bytes and the symbol) of all bytes after the first ORDER."""
+    windows = np.ndarray((len(padded) - ORDER,), ">u8", padded + b"\0\0", 0, (1,))
+    return (windows >> np.uint64(16)).view(np.int64)
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (ORDER context bytes and the symbol) of all positions of these streams and their ends, and the stream of each."""
-    return _coded([_PAD + s + b" " for s in streams])
+class Slice:
+    """Codes of parts (ORDER bytes of context, then symbols) side by side; those of a part stand from first to last."""
 
+    def __init__(self, parts: list[bytes], owners: list[int]):
+        at = np.cumsum([0, *map(len, parts)])
+        self.codes, self.first, self.last, self.owners = codes_of(b"".join(parts)), at[:-1], at[1:] - ORDER, np.array(owners, np.int64)
 
-def sliced(streams: Iterable[tuple[int, bytes]], size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """grams of (owner, stream), about size bytes at a time; a longer stream is cut, with its context kept."""
+    def symbols(self) -> np.ndarray:
+        """Codes without those whose symbol is context of the next part."""
+        keep = np.ones(len(self.codes), bool)
+        keep[(self.last[:-1, None] + np.arange(ORDER)).ravel()] = False
+        return self.codes[keep]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the values (one a code) of each part."""
+        return np.add.reduceat(values, np.column_stack((self.first, self.last)).ravel()[:-1])[::2]
+
+
+def sliced(streams: Iterable[tuple[int, bytes]], size: int | None = None) -> Iterator[Slice]:
+    """Slices of (owner, stream), about size bytes each; a longer stream is cut, with its context kept."""
+    size = size or SLICE
     parts, owners, held = [], [], 0
     for owner, s in streams:
-        s = _PAD + s + b" "
+        s = _PAD + s
         for at in range(0, len(s) - ORDER, size):
             parts.append(s[at : at + size + ORDER])
             owners.append(owner)
             held += len(parts[-1])
             if held >= size:
-                code, part = _coded(parts)
-                yield code, np.array(owners)[part]
+                yield Slice(parts, owners)
                 parts, owners, held = [], [], 0
     if parts:
-        code, part = _coded(parts)
-        yield code, np.array(owners)[part]
+        yield Slice(parts, owners)
 
 
-def streams(tokens: list[bytes], across: bool) -> list[bytes]:
-    """What contexts stay within: the whole document, or (not across) each token."""
-    return [b" ".join(tokens)] if across else tokens
+def stream(tokens: list[bytes]) -> bytes:
+    """The bytes of a document: each token and a closing space."""
+    return b" ".join(tokens) + b" "
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(keys, return_inverse=True)
-    return u, np.bincount(inverse, weights=n, minlength=len(u))
+    """Distinct keys in order, and the sum of n of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
 
 
 def _at(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -102,17 +114,18 @@ def _at(keys: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == want, values[i], 0.0)
 
 
-def log_probabilities(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def log_probabilities(codes: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Natural log probability of the symbol of each code after its context.
 
-    codes: distinct, all that share their last two context bytes (or all there
-    are); n: training counts, 0 where only scored. low: keys and counts of order 1.
+    codes: distinct, all that share their last three context bytes (or all there
+    are); n: training counts, 0 where only scored. low, two: sorted keys and counts
+    of orders 1 and 2; those of order 2 are all of the contexts in codes at least.
     """
     seen = n > 0
     table = {}
-    for k in range(ORDER, 1, -1):
+    for k in range(ORDER, 2, -1):
         table[k] = _sums(codes[seen] & ((1 << 8 * (k + 1)) - 1), n[seen])
-    table[1] = low
+    table[2], table[1] = two, low
     table[0] = _sums(low[0] & 0xFF, low[1])
     total, kinds, shared = {}, {}, {}
     for k in range(ORDER, -1, -1):
@@ -146,7 +159,7 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return parts[0] if len(parts) == 1 else _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, word, code, n) from (grp, learn, text): training counts of words (code null) and n-grams (word null)."""
     held: dict[int, Counter] = {}
     waiting: dict[tuple[int, bool], list[bytes]] = defaultdict(list)
@@ -155,9 +168,9 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
     def code_waiting():
         for (grp, learn), some in waiting.items():
             own = codes[grp]
-            for code, _ in sliced((0, s) for s in some):
-                u, n = np.unique(code, return_counts=True)
-                own.append((u, n if learn else np.zeros(len(u))))
+            for part in sliced((0, s) for s in some):
+                u, n = np.unique(part.symbols(), return_counts=True)
+                own.append((u, n if learn else np.zeros(len(u), np.int64)))
                 if sum(len(u) for u, _ in own[1:]) > max(MERGE, len(own[0][0])):
                     own[:] = [_added(own)]
         waiting.clear()
@@ -166,7 +179,9 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
         code_waiting()
         for grp, own in codes.items():
             code, total = _added(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), grp)), pa.nulls(len(code), pa.binary()), pa.array(code), pa.array(total.astype(np.int64))], ["grp", "word", "code", "n"])
+            for i in range(0, len(code), 1 << 18):
+                u = code[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), grp)), pa.nulls(len(u), pa.binary()), pa.array(u), pa.array(total[i : i + len(u)])], ["grp", "word", "code", "n"])
         codes.clear()
 
     def flush():
@@ -187,115 +202,192 @@ def _counted(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Rec
             if learn:
                 counts.update(words)
             else:
-                counts.update(dict.fromkeys(words, 0))
-            waiting[grp, learn] += streams(words, across)
+                for w in words:
+                    counts.setdefault(w, 0)
+            waiting[grp, learn].append(stream(words))
             seen += len(words)
             size += len(text or "")
-            if size > SLICE:
-                size = 0
-                code_waiting()
-                if sum(len(u) for own in codes.values() for u, _ in own) > FLUSH_CODES:
-                    yield from flush_codes()
-            if seen > FLUSH // 4:  # looked at now and then: distinct words are fewer than words
-                seen = 0
-                if sum(map(len, held.values())) > FLUSH:
-                    yield from flush()
+        if size > SLICE:
+            size = 0
+            code_waiting()
+            if sum(len(u) for own in codes.values() for u, _ in own) > FLUSH_CODES:
+                yield from flush_codes()
+        if seen > FLUSH // 4:  # looked at now and then: distinct words are fewer than words
+            seen = 0
+            if sum(map(len, held.values())) > FLUSH:
+                yield from flush()
     yield from flush()
     yield from flush_codes()
 
 
-def _groups(docs: DataFrame) -> Column:
-    """Group of each row: ranges of ids, as neighbours in id tend to be neighbours in the files."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(size // GROUP_BYTES) + 1
-    cuts = docs.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    places = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    return F.coalesce(F.size(F.filter(places, lambda c: c < F.col("id"))), F.lit(0)).cast("long")
-
+def _groups(docs: DataFrame) -> tuple[Column, int]:
+    """Group of each row over columns id and text, and how many there are. Neighbours in id tend to be neighbours
+    in the files, so groups are ranges of ids; one that holds too much is shared out by hash of the text."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 64
+    lo, hi, total = docs.agg(F.min("id"), F.max("id"), F.coalesce(F.sum(size), F.lit(0))).first()
+    cells = 4 * (total // GROUP_BYTES + 1)
+    width = ((hi - lo) // cells + 1) if lo is not None else 1
+    cell = F.coalesce(F.expr(f"CAST((CAST(id AS DECIMAL(20,0)) - {lo or 0}) DIV {width} AS BIGINT)"), F.lit(-1).cast("long"))
+    held = {r[0]: r[1] for r in docs.groupBy(cell.alias("cell")).agg(F.sum(size)).collect()}  # four rows a group, about
+    first, shares, at, room = np.zeros(cells + 1, np.int64), np.ones(cells + 1, np.int64), -1, 0
+    for k in sorted(held):
+        if held[k] > room:
+            at, room = at + 1, GROUP_BYTES
+        first[k + 1] = at
+        shares[k + 1] = -(-held[k] // GROUP_BYTES)
+        at, room = at + int(shares[k + 1]) - 1, room - held[k] if shares[k + 1] == 1 else 0
+
+    @F.pandas_udf("long")
+    def place(c: pd.Series, h: pd.Series) -> pd.Series:
+        c = c.to_numpy() + 1
+        return pd.Series(first[c] + h.to_numpy() % shares[c])
+
+    return place(cell, F.xxhash64("text")), at + 1
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(grp, keys, values): the keys and values of (grp, key, value) rows, many a row. Keys are words (joined by spaces) or numbers."""
+    words = rows.schema["key"].dataType.typeName() == "binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def emit():
+            t = pa.Table.from_batches(waiting)
+            waiting.clear()
+            order = np.argsort(t.column(0).to_numpy(), kind="stable")
+            t = t.take(pa.array(order))
+            grp, keys, values = t.column(0).to_numpy(), t.column(1), t.column(2).to_numpy()
+            heads = np.flatnonzero(np.append(True, grp[1:] != grp[:-1])).tolist() if len(grp) else []
+            spans = list(zip(heads, [*heads[1:], len(grp)], strict=True))
+            blobs = [b" ".join(keys.slice(i, j - i).to_pylist()) if words else keys.slice(i, j - i).to_numpy().tobytes() for i, j in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(grp[heads]), pa.array(blobs, pa.binary()), pa.array([values[i:j].tobytes() for i, j in spans], pa.binary())], ["grp", "keys", "values"])
+
+        for b in batches:
+            waiting.append(b)
+            if sum(x.num_rows for x in waiting) > PACKED:
+                yield from emit()
+        if waiting:
+            yield from emit()
+
+    return rows.select("grp", "key", "value").mapInArrow(run, "grp long, keys binary, values binary")
+
+
+class _Once(dict):
+    """Counts of words; those that are left out count 1."""
+
+    def __missing__(self, word):
+        return 1
+
+
+class Codes:
+    """Values at sorted codes: a table by hash, and binary search for what it has lost to collisions."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        self.shift = np.uint64(64 - max(8, 2 + len(codes).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._slot(self.codes)] = np.arange(len(codes))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __getitem__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether there is one."""
+        if not len(self.codes):
+            return np.zeros(len(codes)), np.zeros(len(codes), bool)
+        at = self.table[self._slot(codes)]
+        lost = np.flatnonzero(self.codes[at] != codes)
+        at[lost] = np.minimum(np.searchsorted(self.codes, codes[lost]), len(self.codes) - 1)
+        found = np.ones(len(codes), bool)
+        found[lost] = self.codes[at[lost]] == codes[lost]
+        return self.values[at], found
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, kind, id, learn, text, keys, values) by grp and kind: n-grams (0) and words (1) of a group, then its documents (2)."""
+    grp, code_parts, known, codes = None, [], _Once(), None
+
+    def scores(b: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = [lower_words(t) + [b""] for t in b.column(4).to_pylist()]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        c = np.fromiter((known[w] for t in tokens for w in t), np.int64, int(sizes.sum()))
+        heads = np.cumsum(sizes) - sizes
+        score = np.zeros(len(tokens))
+        for part in sliced((i, stream(t)) for i, t in enumerate(tokens)):
+            value, found = codes[part.codes]
+            score += np.bincount(part.owners, weights=part.sums(value), minlength=len(score))
+            if part.sums((~found).astype(np.int64)).any():
+                raise RuntimeError("an n-gram of a group was not counted with it")
+        columns = [sizes, np.add.reduceat((c > 0).astype(np.int64), heads), np.add.reduceat(np.log10(c + 0.5), heads), score / np.log(10)]
+        return pa.RecordBatch.from_arrays([b.column(2), b.column(3), *map(pa.array, columns)], ["id", "learned", "n_tokens", "n_known", "base_score", "score"])
+
+    for batch in batches:
+        own, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((own[1:] != own[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)], strict=True):
+            if i == j:
+                continue
+            b = batch.slice(i, j - i)
+            if own[i] != grp:
+                grp, code_parts, known, codes = own[i], [], _Once(), None
+            if kind[i] == 0:
+                code_parts += [(np.frombuffer(k, np.int64), np.frombuffer(v)) for k, v in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            elif kind[i] == 1:
+                for k, v in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
+                    known.update(zip(k.split(b" "), np.frombuffer(v, np.int64).tolist(), strict=True))
+            else:
+                if codes is None:
+                    codes = Codes(*(np.concatenate(x) for x in zip(*code_parts, strict=True))) if code_parts else Codes(np.zeros(0, np.int64), np.zeros(0))
+                    code_parts = []
+                for part in in_parts(b, 4):
+                    yield scores(part)
 
-def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
-    """(id, learned, n_tokens, n_known, train_tokens, base_score, score); learn (over column id) marks the training rows.
 
-    across: contexts reach over token starts (op9_ppm); otherwise each token is coded on its own.
-    """
+def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, learned, n_tokens, n_known, train_tokens, base_score, score); learn (over column id) marks the training rows."""
+    spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    grouped = src.select(_groups(src).alias("grp"), learn.alias("learn"), "text", "id")
-    parts = written(docs.sparkSession, grouped.select("grp", "learn", "text").mapInArrow(lambda batches: _counted(batches, across), "grp long, word binary, code long, n long"), "parts")
+    grp, groups = _groups(src)
+    grouped = src.select(grp.alias("grp"), learn.alias("learn"), "text", "id")
+    parts = written(spark, grouped.select("grp", "learn", "text").mapInArrow(_counted, "grp long, word binary, code long, n long"), "parts")
     words, codes = parts.where("word IS NOT NULL"), parts.where("code IS NOT NULL")
 
-    # Each row of a word learns the word's whole count: one row a group and word (added up where the
-    # shuffle by word brings them), so the rows of the commonest word are as many as there are groups.
-    own = W.partitionBy("word")
-    words = words.select("grp", "word", "n").repartition("word").groupBy("word", "grp").agg(F.sum("n").alias("n"))
-    counted = words.withColumn("c", F.sum("n").over(own)).withColumn("first", F.row_number().over(own.orderBy("grp")) == 1)
-    counted = written(docs.sparkSession, counted, "words")
-    tokens, distinct = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    # A group counts its own words anew; it is told of those that others hold too.
-    in_group = counted.where("c > n").select("grp", "word", "c")
-
-    # One shuffle by code serves the sums and the way back to the groups: both read all its columns, so Spark makes it once.
-    dealt = codes.select("grp", "code", "n").repartition("code")
-    total = dealt.groupBy("code").agg(F.sum(F.when(F.col("grp").isNotNull(), F.col("n"))).alias("n"))
-    in_groups = dealt.groupBy("code", "grp").agg(F.sum("n").alias("n"))
-    rows = codes.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect()  # two bytes: 65,536 at most
+    word_counts = written(spark, words.groupBy("word").agg(F.sum("n").alias("value")), "words")
+    tokens, distinct = word_counts.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count_if(F.col("value") > 0)).first()
+    counts = written(spark, codes.groupBy("code").agg(F.sum("n").alias("n")), "codes")
+    trained = counts.where("n > 0")
+    rows = trained.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFF)).alias("k")).agg(F.sum("n").alias("n")).collect()  # two bytes: 65,536 at most
     rows.sort()
     low = (np.array([r.k for r in rows], np.int64), np.array([r.n for r in rows], float))
 
-    def evaluate(t: pa.Table) -> pa.Table:
-        code = t.column("code").to_numpy()
-        return pa.table({"code": code, "lp": log_probabilities(code, t.column("n").to_numpy().astype(float), low)})
-
-    by_context = total.groupBy(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
-    lp = by_context.applyInArrow(evaluate, "code long, lp double")
-    codes_in_group = in_groups.join(lp, "code").select("grp", "code", F.when(F.col("n").isNotNull(), F.col("lp")).alias("lp"))
-    table = in_group.select("grp", "word", "c", F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("lp")).union(
-        codes_in_group.select("grp", F.lit(None).cast("binary"), F.lit(None).cast("long"), "code", "lp")
-    )
-    floor = np.log10(tokens + 0.5 * (distinct + 1))
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_code = pa.compute.is_valid(right.column("code"))
-        code_rows = right.select(["code", "lp"]).filter(is_code)
-        code, first = np.unique(code_rows.column("code").to_numpy(), return_index=True)
-        lp = code_rows.column("lp").to_numpy()[first] / np.log(10)
-        word_rows = right.select(["word", "c"]).filter(pa.compute.invert(is_code))
-        del code_rows, first, right
-
-        def token_lists():
-            for b in left.select(["text", "learn"]).to_batches(max_chunksize=256):
-                for text, learned in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    yield [*lower_words(text), b""], learned
-
-        place = Counter()
-        for tokens_, learned in token_lists():
-            place.update(tokens_ if learned else dict.fromkeys(tokens_, 0))
-        c = np.fromiter(place.values(), float, len(place))
-        words = list(place)
-        for i, w in enumerate(words):
-            place[w] = i
-        for b in word_rows.to_batches(max_chunksize=1 << 16):
-            c[np.fromiter(map(place.__getitem__, b.column(0).to_pylist()), np.int64, b.num_rows)] = b.column(1).to_numpy()
-        ppm = np.zeros(left.num_rows)
-        for g, owner in sliced((i, s) for i, (tokens_, _) in enumerate(token_lists()) for s in streams(tokens_, across)):
-            g, inverse = np.unique(g, return_inverse=True)
-            first = owner[0]
-            own = np.bincount(owner - first, weights=lp[np.searchsorted(code, g)][inverse])
-            ppm[first : first + len(own)] += own
-        base = np.log10(c + 0.5) - floor
-        out = []
-        for i, (tokens_, _) in enumerate(token_lists()):
-            at = np.fromiter(map(place.__getitem__, tokens_), np.int64, len(tokens_))
-            out.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(ppm[i])))
-        n, known, b, s = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"id": left.column("id"), "learned": left.column("learn"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64())})
-
-    out = grouped.groupBy("grp").cogroup(table.groupBy("grp")).applyInArrow(score, "id long, learned boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
+    def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, k = left.column("code").to_numpy(), right.column("k").to_numpy()
+        order = np.argsort(k)
+        two = (k[order], right.column("n").to_numpy()[order].astype(float))
+        return pa.table({"code": code, "lp": log_probabilities(code, left.column("n").to_numpy().astype(float), low, two)})
+
+    buckets = counts.count() // BUCKET + 1
+    bucket = F.pmod(F.xxhash64(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(buckets)).alias("bucket")
+    pair = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    two = trained.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).agg(F.sum("n").alias("n"))
+    two = two.join(counts.select(bucket, pair).distinct(), F.shiftright("k", 8) == F.col("pair")).select("bucket", "k", "n")
+    lp = counts.select(bucket, "code", "n").groupBy("bucket").cogroup(two.groupBy("bucket")).applyInArrow(evaluate, "code long, lp double")
+
+    # What each group holds learns its value: a join by word or n-gram, whose hot keys adaptive execution splits.
+    code_rows = codes.select("grp", F.col("code").alias("key")).repartition("key").distinct().join(lp.select(F.col("code").alias("key"), F.col("lp").alias("value")), "key")
+    word_rows = words.select("grp", F.col("word").alias("key")).repartition("key").distinct().join(word_counts.where("value <> 1").select(F.col("word").alias("key"), "value"), "key")
+    table = [t.select("grp", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("learn"), F.lit(None).cast("string").alias("text"), "keys", "values") for kind, t in enumerate((_packed(code_rows), _packed(word_rows)))]
+    texts = grouped.select("grp", F.lit(2).alias("kind"), "id", "learn", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"))
+    dealt = table[0].union(table[1]).union(texts).repartition(max(1, 3 * groups), "grp").sortWithinPartitions("grp", "kind")
+    out = dealt.mapInArrow(_scored, "id long, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    floor = float(np.log10(tokens + 0.5 * (distinct + 1)))
+    return out.withColumn("base_score", F.col("base_score") - F.col("n_tokens") * F.lit(floor)).withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
 
 
 def op9_ppm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = in_fold(F.col("id"), 5, 1)
-    out = scores(docs, ~held & F.col("id").isNotNull(), across=True)
+    out = scores(docs, ~held & F.col("id").isNotNull())
     return out.select(F.col("id").alias("doc_id"), (~F.col("learned") & F.col("id").isNotNull()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
