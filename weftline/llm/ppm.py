@@ -9,7 +9,7 @@ held are excluded from the shorter contexts below it; below order 0 all bytes
 left are alike. Code lengths add up to the log probability of the text.
 
 Nothing that grows with the corpus goes through the driver or one task, but one
-number for each fourth of GROUP_BYTES of text. Documents are dealt to groups of
+number for each GROUP_BYTES of text at most. Documents are dealt to groups of
 about that size: ranges of ids, and shares by hash of the text where a range is
 larger (null ids are such a range). Tasks count the distinct words and n-grams
 (context and symbol as one integer) of each group as they read its texts, SLICE
@@ -31,7 +31,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +39,14 @@ from weftline.llm.text import in_fold, in_parts, lower_words
 from weftline.sources.shared import written
 
 ORDER = 5
-GROUP_BYTES = 64 << 20
+#: Bytes of a group, about, and how many times that a range of ids may hold before it is shared out.
+GROUP_BYTES, LARGE = 64 << 20, 2
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 #: Bytes that are coded at a time, and n-grams beside a group's distinct ones that a task holds at least before it adds them up.
-SLICE, MERGE = 1 << 21, 500_000
+SLICE, MERGE = 1 << 20, 500_000
 #: Distinct n-grams that a task holds before it hands them on, and rows that it packs at a time.
-FLUSH_CODES, PACKED = 4_000_000, 1_000_000
+FLUSH_CODES, PACKED = 2_000_000, 200_000
 #: Counted n-grams for each bucket of contexts.
 BUCKET = 100_000
 _PAD = b" " * ORDER
@@ -220,29 +220,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush_codes()
 
 
-def _groups(docs: DataFrame) -> tuple[Column, int]:
-    """Group of each row over columns id and text, and how many there are. Neighbours in id tend to be neighbours
-    in the files, so groups are ranges of ids; one that holds too much is shared out by hash of the text."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (id, text and more) with the group of each row in grp, and about how many there are. Neighbours in id tend
+    to be neighbours in the files, so groups are ranges of ids; one that holds far too much is shared out by hash of the text."""
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 64
     lo, hi, total = docs.agg(F.min("id"), F.max("id"), F.coalesce(F.sum(size), F.lit(0))).first()
-    cells = 4 * (total // GROUP_BYTES + 1)
+    cells = total // GROUP_BYTES + 1
     width = ((hi - lo) // cells + 1) if lo is not None else 1
     cell = F.coalesce(F.expr(f"CAST((CAST(id AS DECIMAL(20,0)) - {lo or 0}) DIV {width} AS BIGINT)"), F.lit(-1).cast("long"))
-    held = {r[0]: r[1] for r in docs.groupBy(cell.alias("cell")).agg(F.sum(size)).collect()}  # four rows a group, about
-    first, shares, at, room = np.zeros(cells + 1, np.int64), np.ones(cells + 1, np.int64), -1, 0
-    for k in sorted(held):
-        if held[k] > room:
-            at, room = at + 1, GROUP_BYTES
-        first[k + 1] = at
-        shares[k + 1] = -(-held[k] // GROUP_BYTES)
-        at, room = at + int(shares[k + 1]) - 1, room - held[k] if shares[k + 1] == 1 else 0
-
-    @F.pandas_udf("long")
-    def place(c: pd.Series, h: pd.Series) -> pd.Series:
-        c = c.to_numpy() + 1
-        return pd.Series(first[c] + h.to_numpy() % shares[c])
-
-    return place(cell, F.xxhash64("text")), at + 1
+    docs = docs.withColumn("grp", cell)
+    shared = F.ceil(F.sum(size) / GROUP_BYTES).cast("long")
+    large = docs.groupBy(F.col("grp").alias("of")).agg(shared.alias("shares")).where(f"shares > {LARGE}").collect()  # fewer than one for each GROUP_BYTES of text
+    if large:
+        more = F.broadcast(docs.sparkSession.createDataFrame(large, "of long, shares long"))
+        share = F.pmod(F.xxhash64("text"), F.coalesce("shares", F.lit(1).cast("long")))
+        docs = docs.join(more, F.col("grp") == F.col("of"), "left").withColumn("grp", F.col("grp") + (cells + 1) * share).drop("of", "shares")
+    return docs, cells + sum(r.shares for r in large)
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -349,8 +342,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """(id, learned, n_tokens, n_known, train_tokens, base_score, score); learn (over column id) marks the training rows."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    grp, groups = _groups(src)
-    grouped = src.select(grp.alias("grp"), learn.alias("learn"), "text", "id")
+    grouped, groups = _grouped(src.withColumn("learn", learn))
     parts = written(spark, grouped.select("grp", "learn", "text").mapInArrow(_counted, "grp long, word binary, code long, n long"), "parts")
     words, codes = parts.where("word IS NOT NULL"), parts.where("code IS NOT NULL")
 
