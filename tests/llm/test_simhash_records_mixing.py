@@ -103,12 +103,14 @@ def test_op10_against_the_library(spark):
     tok = Tokenizer.from_file(path)
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     odd = ["", None, " ", "  a  b\n\n c \t d ", "<|endoftext|> x <|endoftext|>", "a  b  c 'll don't", "🙂 é́ \x1c z", "x" * 5000, "a \n b"]
+    odd += ["word " * 50_000 + "end\nline of a very long text " * 3000]
     rows = rows[:150] + [(10**6 + i, t) for i, t in enumerate(odd)] + [(None, "null id"), (7, "same id"), (7, "same id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("clash")).repartition(3)
     out = records.fresh_path(spark, "records")
     files = records.write_records(docs, path, out)
     got = records.read_records(spark, out, files).orderBy("start").collect()
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda h: h - (h >> 63 << 64)
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else signed(xxhash.xxh64_intdigest(r[1], 42))))
     start = 0
     assert len(got) == len(rows)
     for g, (doc, text) in zip(got, rows):
@@ -119,6 +121,36 @@ def test_op10_against_the_library(spark):
     assert records.read_records(spark, empty, records.write_records(docs.limit(0), path, empty)).count() == 0
 
 
+def test_op10_one_id_fills_several_files_and_reads_by_bytes(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(records, "READ", 100)
+    monkeypatch.setattr(records, "CACHE", 20)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for text in (F.concat(F.lit("text "), F.col("id")), F.lit("one text")):
+        docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), text.alias("text")).repartition(6)
+        out = records.fresh_path(spark, "records")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        files = records.write_records(docs, path, out)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(files) > 2 and max(n for _, n, _ in files) < 3000
+        got = records.read_records(spark, out, files).orderBy("start").collect()
+        assert len(got) == 4000 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
+def test_op10_generations_of_pieces_keep_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(records, "CACHE", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc, rng = Tokenizer.from_file(path), records.Encoder(path), random.Random(2)
+    words = [f"w{i}{end}" for i in range(60) for end in ("", ".", ",\nnext", "\t", "\n\nx")]
+    for _ in range(12):
+        texts = [" ".join(rng.choices(words, k=12)) for _ in range(20)]
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_records_detect_damage():
     data = bytearray(records.frame(b"abc") + records.frame(b""))
     assert records.unframe(bytes(data), 0) == (b"abc", 19)

@@ -8,8 +8,9 @@ index beside it holds (offset, id, tokens) of each record, for shuffled reads.
 Files follow the order of ids, and file names that of files.
 
 A null text is empty: only the end id is written. A null id sorts first. Rows
-that repeat stay; ties of one id are ordered by text. An empty table writes no
-record and reads back empty.
+that repeat stay; ties of one id are ordered by the texts' 64-bit hashes, and their
+rows may fill several files. Texts are encoded whole, however long, one record
+each. An empty table writes no record and reads back empty.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.text import in_parts
 from weftline.sources.shared import fresh_path
 
 END_ID = 2
 MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x10
 INDEX = np.dtype([("offset", "<u8"), ("id", "<i8"), ("tokens", "<u4"), ("null", "u1")])
-#: Pieces kept by a worker, and pieces encoded as one text.
+#: Pieces of the newer of two generations that a worker keeps, and pieces encoded as one text.
 CACHE, JOINED = 500_000, 1000
+#: Bytes of records read at once (one record at least).
+READ = 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -79,6 +83,7 @@ class Encoder:
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
         self.heads: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes | None] = {}
+        self.older: tuple[dict, dict] = {}, {}
 
     def _joined(self, pieces: list[str], mark: str, starts) -> list[bytes]:
         """Ids of each piece: many are encoded as one text, cut again where ids begin a piece. starts: ids to flags."""
@@ -95,16 +100,22 @@ class Encoder:
         return out
 
     def _learn(self, tails: set[str], heads: set[str]) -> None:
-        """Fill both caches. Pieces with single line ends inside are put together from the lines' ids."""
+        """Fill both caches. Pieces with single line ends inside are put together from the lines' ids.
+
+        When the caches are full they become the older generation, and what is seen again moves back from it.
+        """
         if len(self.tails) + len(self.heads) > CACHE:
-            self.tails.clear()
-            self.heads.clear()
-        new = {" ": [p for p in tails if p not in self.tails], "": [p for p in heads if p not in self.heads]}
+            self.older, self.tails, self.heads = (self.tails, self.heads), {}, {}
         compound: dict[str, list[str]] = {}
         simple: dict[str, set[str]] = {" ": set(), "": set()}
-        for mark, pieces in new.items():
-            cache = self.tails if mark else self.heads
-            for p in pieces:
+        for mark, pieces, cache, older in ((" ", tails, self.tails, self.older[0]), ("", heads, self.heads, self.older[1])):
+            new = pieces.difference(cache)
+            again = new.intersection(older)
+            cache.update(zip(again, map(older.__getitem__, again), strict=True))
+            for p in new - again:
+                if p.split() == [p]:
+                    simple[mark].add(p)
+                    continue
                 lines = p.split("\n")
                 if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                     cache[p] = None
@@ -114,6 +125,8 @@ class Encoder:
                     simple[""].update(x for x in lines[1:] if x not in self.heads)
                 if lines[0] not in cache:
                     simple[mark].add(lines[0])
+        # A line may have been seen as a head after it was put on the list.
+        simple[""].difference_update(self.heads)
         for mark, cache, flag in ((" ", self.tails, lambda ids: self.spaced[ids]), ("", self.heads, lambda ids: ids == self.newline)):
             todo = list(simple[mark])
             cache.update(zip(todo, self._joined(todo, mark or "\n", flag), strict=True))
@@ -148,8 +161,9 @@ def encoder(path: str) -> Encoder:
 def write_records(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> list[tuple[str, int, int]]:
     """Encode and write all rows in order of id; (file, records, tokens) of each file, in that order.
 
-    Rows are dealt by ranges of id before they are encoded, so texts move once and
-    each task streams its range into one file. A task writes under a name of its
+    Rows are dealt by ranges of id (and, within one id, of the text's hash and then of
+    the rows' places) before they are encoded, so texts move once and each task streams
+    its range into one file. A task writes under a name of its
     attempt and renames, so repeated attempts leave the same file. What comes back
     to the driver is one row a file.
     """
@@ -160,9 +174,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, id_col: str =
         width = np.dtype(enc.dtype).itemsize
         task = TaskContext.get()
         name, offset, index = f"part-{task.partitionId():08d}", 0, []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for batch in batches for part in in_parts(batch)):
             if store is None:
                 store, at = fs.FileSystem.from_uri(out)
                 store.create_dir(at, recursive=True)
@@ -184,7 +196,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, id_col: str =
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(rows)], pa.int64()), pa.array([int(rows["tokens"].sum(dtype=np.int64))], pa.int64())], ["file", "records", "tokens"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    dealt = src.repartitionByRange("id").sortWithinPartitions("id", "text")
+    placed = src.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    dealt = placed.repartitionByRange("id", "h", "place").sortWithinPartitions("id", "h", "text").select("id", "text")
     return sorted(map(tuple, dealt.mapInArrow(run, "file string, records long, tokens long").collect()))
 
 
@@ -202,11 +215,12 @@ def read_records(spark: SparkSession, out: str, files: list[tuple[str, int, int]
                 with store.open_input_stream(f"{at}/{name}.idx") as f:
                     index = np.frombuffer(f.read(), INDEX)
                 with store.open_input_file(f"{at}/{name}.rec") as f:
-                    for i in range(0, len(index), 4096):
-                        part = index[i : i + 4096]
-                        begin = int(part["offset"][0])
-                        end = int(index["offset"][i + 4096]) if i + 4096 < len(index) else f.size()
-                        data = f.read_at(end - begin, begin)
+                    ends, i = np.append(index["offset"][1:], f.size()).astype(np.int64), 0
+                    while i < len(index):
+                        begin = int(index["offset"][i])
+                        j = max(i + 1, int(np.searchsorted(ends, begin + READ, side="right")))
+                        part, i = index[i:j], j
+                        data = f.read_at(int(ends[j - 1]) - begin, begin)
                         ids, counts, crcs = [], [], []
                         for o in part["offset"]:
                             payload, _ = unframe(data, int(o) - begin)
