@@ -89,7 +89,7 @@ class Encoder:
         """Ids of each piece: many are encoded as one text, cut again where ids begin a piece. starts: ids to flags."""
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
         out: list[bytes] = []
-        for group, e in zip(groups, self.tokenizer.encode_batch([mark + mark.join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([mark + mark.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(starts(ids))
             if len(cuts) != len(group):
