@@ -1,14 +1,16 @@
 """Secret scans: rule matches, and a character convolutional network over every other candidate.
 
 Rules find assigned values, access keys and long hexadecimal runs. Candidates
-are all runs of 12 or more token characters with a letter and a digit, or what a
-rule's spans leave of a run; the network reads each in overlapping windows, with the
-text around them, and the highest output counts. It is trained on the
-rules' own findings against other runs of the same texts, with the naming key cut
-out of half of the findings, so that the shape of a value counts by itself.
-Its outputs are calibrated on a held-back part, and the threshold is the largest
-that keeps the wanted recall of the findings there whose key is cut out. Rule spans
-always stay.
+are all runs of 12 or more token characters, or what a rule's spans leave of a run;
+the network reads each in overlapping windows, with the text around them, and the
+highest output counts. It is trained on the rules' own findings against other runs
+of the same texts. So that it learns more than the rules, the naming key is cut out
+of half of the findings, and every finding is drawn anew in other shapes: cut short,
+or with random characters of other alphabets, prefixes and groups, in the surroundings
+of other runs. Against them stand other runs joined from words of the texts, as names,
+paths, versions and dates are. Outputs are calibrated on a held-back part, and the
+threshold is the largest that keeps the wanted recall of the findings there whose key
+is cut out and of those drawn anew. Rule spans always stay.
 
 A null text is empty; it and an empty table give no spans. Very long texts are
 scanned whole. Repeated rows each get their spans. Where fewer than MIN_EXAMPLES
@@ -40,8 +42,8 @@ MIN_VALUE, MIN_ACCESS, MIN_CANDIDATE = 8, 16, 12
 
 TOKEN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 TO_TOKENS = bytes(c if c in TOKEN_BYTES else 32 for c in range(256))
-DIGITS = re.compile(rb"[0-9]")
-LETTERS = re.compile(rb"[A-Za-z]")
+_LOWER, _UPPER, _DIGIT = TOKEN_BYTES[26:52], TOKEN_BYTES[:26], TOKEN_BYTES[52:62]
+_ALNUM = _LOWER + _UPPER + _DIGIT
 LEFT, BODY, RIGHT = 24, 40, 16
 STEP = BODY // 2
 WINDOW = LEFT + BODY + RIGHT
@@ -113,53 +115,57 @@ def keyless(b: bytes, start: int, end: int, spans: list[tuple[int, int, int]]) -
     return start, start
 
 
-def mixed(w: bytes) -> bool:
-    return bool(DIGITS.search(w) and LETTERS.search(w))
+#: Added to the bytes of a window's context, so that they have an embedding of their own.
+_REGION = np.repeat([256, 0, 256], [LEFT, BODY, RIGHT])
 
 
 class CharCNN:
-    """Byte embedding, one convolution, ReLU, maximum over positions, one output; plain numpy."""
+    """Byte embedding (context apart), one convolution, ReLU, maximum and mean over positions, one output; plain numpy."""
 
     def __init__(self, seed: int = 42, dim: int = 8, filters: int = 32, width: int = 5):
         r = np.random.default_rng(seed)
         self.width, self.rng = width, r
-        self.p = {"e": r.normal(0, 0.3, (256, dim)), "k": r.normal(0, 0.2, (width * dim, filters)), "c": np.zeros(filters), "v": r.normal(0, 0.2, filters), "b": np.zeros(1)}
+        p = {"e": r.normal(0, 0.3, (512, dim)), "k": r.normal(0, 0.2, (width * dim, filters)), "c": np.zeros(filters), "v": r.normal(0, 0.2, filters), "u": r.normal(0, 0.2, filters), "b": np.zeros(1)}
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, x: np.ndarray):
         p, w = self.p, self.width
         n = x.shape[1] - w + 1
-        e = p["e"][x]
+        e = p["e"][x + _REGION]
         cols = np.concatenate([e[:, i : i + n] for i in range(w)], axis=2)
-        z = cols @ p["k"] + p["c"]
-        at = z.argmax(axis=1)
-        top = np.take_along_axis(z, at[:, None, :], 1)[:, 0]
-        act = np.maximum(top, 0)
-        return act @ p["v"] + p["b"][0], (cols, at, top, act)
+        z = (cols.reshape(-1, cols.shape[2]) @ p["k"] + p["c"]).reshape(len(x), n, -1)
+        act = np.maximum(z, 0)
+        top, mean = act.max(axis=1), act.mean(axis=1)
+        return top @ p["v"] + mean @ p["u"] + p["b"][0], (cols, act, top, mean)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01) -> None:
         """Adam on the logistic loss, both labels weighing alike."""
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        dim, step = self.p["e"].shape[1], 0
+        dim, step, steps = self.p["e"].shape[1], 0, epochs * -(-len(x) // batch)
         for _ in range(epochs):
             order = self.rng.permutation(len(x))
             for i in range(0, len(x), batch):
                 b = order[i : i + batch]
-                out, (cols, at, top, act) = self._forward(x[b])
-                d = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[b]) * weight[b] / len(b)
-                dz = d[:, None] * self.p["v"] * (top > 0)
-                rows = np.arange(len(b))[:, None]
-                picked = cols[rows, at]
-                g = {"v": act.T @ d, "b": np.array([d.sum()]), "c": dz.sum(0), "k": np.einsum("bfk,bf->kf", picked, dz)}
-                de = (dz[:, :, None] * self.p["k"].T[None]).reshape(len(b), -1, self.width, dim)
-                g["e"] = np.zeros_like(self.p["e"])
-                np.add.at(g["e"], x[b][rows[:, :, None], at[:, :, None] + np.arange(self.width)], de)
+                out, (cols, act, top, mean) = self._forward(x[b])
+                d = ((1 / (1 + np.exp(-np.clip(out, -30, 30))) - y[b]) * weight[b] / len(b)).astype(np.float32)
+                n = act.shape[1]
+                dz = np.broadcast_to(d[:, None, None] * self.p["u"] / n, act.shape) + d[:, None, None] * self.p["v"] * (act == top[:, None])
+                dz = (dz * (act > 0)).reshape(-1, act.shape[2])
+                g = {"v": top.T @ d, "u": mean.T @ d, "b": np.array([d.sum()]), "c": dz.sum(0), "k": cols.reshape(-1, cols.shape[2]).T @ dz}
+                de = (dz @ self.p["k"].T).reshape(len(b), n, self.width, dim)
+                at = np.zeros((len(b), x.shape[1], dim), np.float32)
+                for k in range(self.width):
+                    at[:, k : k + n] += de[:, :, k]
+                code = (x[b] + _REGION).ravel()
+                g["e"] = np.stack([np.bincount(code, weights=at[:, :, k].ravel(), minlength=512) for k in range(dim)], axis=1)
                 step += 1
                 for k, (m, v) in state.items():
                     m += 0.1 * (g[k] - m)
                     v += 0.001 * (g[k] ** 2 - v)
-                    self.p[k] = self.p[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                    # The rate falls to a tenth in even steps.
+                    self.p[k] -= rate * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i : i + 256])[0] for i in range(0, len(x), 256)] or [np.zeros(0)])
@@ -185,25 +191,67 @@ def as_array(windows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WINDOW)
 
 
+def drawn_anew(value: bytes, rng: np.random.Generator) -> bytes:
+    """A finding in another shape: cut short, with other characters of the same kinds, or of other alphabets."""
+    pick = lambda alphabet, n: bytes(rng.choice(np.frombuffer(alphabet, np.uint8), n))
+    n = int(rng.integers(16, BODY + 1))
+    kind = int(rng.integers(7))
+    if kind == 0 and len(value) > 16:
+        cut = int(rng.integers(16, len(value)))
+        at = int(rng.integers(len(value) - cut + 1))
+        return value[at : at + cut]
+    if kind <= 1:
+        return b"".join(pick(_DIGIT if c in _DIGIT else _UPPER if c in _UPPER else _LOWER, 1) if c in _ALNUM else bytes([c]) for c in value)
+    if kind == 2:
+        return pick(_ALNUM + b"+/", n)
+    if kind == 3:
+        return pick((_DIGIT + _LOWER, _DIGIT + _UPPER)[int(rng.integers(2))], n)
+    if kind == 4:
+        return pick(_DIGIT + b"abcdef", n)
+    if kind == 5:
+        return pick(_LOWER, int(rng.integers(2, 6))) + pick(b"_-.", 1) + pick(_ALNUM, n)
+    return b"-".join(pick(_ALNUM if rng.integers(2) else _DIGIT, int(rng.integers(8, 13))) for _ in range(3)) + pick(_ALNUM, 8)
+
+
+def joined_words(words: list[bytes], rng: np.random.Generator) -> bytes:
+    """What no secret looks like: words of the texts joined as long words, names, paths, versions, dates and addresses are."""
+    some = [words[int(i)] for i in rng.integers(len(words), size=int(rng.integers(2, 5)))]
+    if not rng.integers(3):
+        some = [w.upper() for w in some]
+    number = b"%d" % rng.integers(10 ** int(rng.integers(1, 5)))
+    kind = int(rng.integers(7))
+    if kind == 6:
+        return b"".join(some) + b"."[: int(rng.integers(2))]
+    if kind == 0:
+        return b"-_./"[(at := int(rng.integers(4))) : at + 1].join(some)
+    if kind == 1:
+        return some[0] + b"".join(w.capitalize() for w in some[1:]) + (number if rng.integers(2) else b"")
+    if kind == 2:
+        return b".".join([some[0] + number, *some[1:], b"com"])
+    if kind == 3:
+        return b"%s-%d.%d.%d" % (some[0], *rng.integers(30, size=3)) + (b"-" + some[1] if rng.integers(2) else b"")
+    if kind == 4:
+        return b"%d-%02d-%02d" % (rng.integers(1970, 2040), rng.integers(1, 13), rng.integers(1, 29)) + (b"T%02d" % rng.integers(24) if rng.integers(2) else b"/" + some[0])
+    return b"/".join([b"", *some, number])
+
+
 def _examples(docs: DataFrame) -> DataFrame:
     """(label, window) of the token runs of these documents: where a rule's span touches the run, 1, or 2 with the key cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, 0)):
             label, windows = [], []
             for t in batch.column(0).to_pylist():
                 b = (t or "").encode()
                 tokens = runs(b, 8)
                 base = base_spans(b, max(map(len, tokens), default=0))
-                plain = 0
                 for s, e in located(b, tokens):
                     # What the spans leave of a run is no example of other runs: it may belong to the secret.
                     rest = outside(s, e, base)
                     hit = rest != [(s, e)]
                     if hit:
                         s, e = rest[0][1] if rest and rest[0][0] == s else s, rest[-1][0] if rest and rest[-1][1] == e else e
-                    plain += not hit and not mixed(b[s:e])
-                    if hit and e - s >= MIN_CANDIDATE or not hit and (mixed(b[s:e]) or plain <= 4):
+                    if e - s >= MIN_CANDIDATE:
                         cut = hit and len(label) % 2 == 1
                         label.append(int(hit) + cut)
                         at, left_end = keyless(b, s, e, base) if cut else (s, s)
@@ -215,8 +263,24 @@ def _examples(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "label int, window binary")
 
 
+def _reshaped(windows: list[bytes], labels: list[int], seed: int) -> tuple[list[bytes], list[int]]:
+    """As many windows drawn anew from these: findings in other shapes and joined words, in the surroundings of other runs."""
+    rng = np.random.default_rng(seed)
+    around = [(w[:LEFT], w[LEFT + BODY :]) for w, k in zip(windows, labels, strict=True) if not k] or [(b" " * LEFT, b" " * RIGHT)]
+    words = sorted({x for left, right in around for x in re.findall(rb"(?<=[^A-Za-z])[A-Za-z]{3,12}(?=[^A-Za-z])", left + b" " + right)}) or [b"word"]
+    found = [w[LEFT : LEFT + BODY].rstrip(b"\0") for w, k in zip(windows, labels, strict=True) if k]
+    out: list[bytes] = []
+    for make, n in ((lambda: drawn_anew(found[int(rng.integers(len(found)))], rng), len(windows) // 2), (lambda: joined_words(words, rng), len(windows) // 2)):
+        for _ in range(n):
+            left, right = around[int(rng.integers(len(around)))]
+            body = make()
+            out.append(left + body[:BODY].ljust(BODY, b"\0") + (body[BODY:] + right)[:RIGHT])
+    return out, [2] * (len(out) // 2) + [0] * (len(out) // 2)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.98, seed: int = 42) -> CharCNN | None:
-    """Fit on a bounded sample: the documents of either kind with the least hashes (FINDING_DOCS, OTHER_DOCS), EXAMPLES of either label."""
+    """Fit on a bounded sample: the documents of either kind with the least hashes (FINDING_DOCS, OTHER_DOCS), EXAMPLES windows of
+    either label, and as many drawn anew from them (what is held back is drawn from what is held back)."""
     text = docs[text_col].alias("text")
     low = F.lower("text")
     src = docs.where(docs[text_col].isNotNull()).select(text, F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("h"))
@@ -224,19 +288,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     n = src.agg(F.count_if(some), F.count_if(~some)).first()
     found, other = least_hashes(src.where(some), FINDING_DOCS, n=n[0]), least_hashes(src.where(~some), OTHER_DOCS, n=n[1])
     windows = [written(docs.sparkSession, _examples(d.select("text")).distinct().withColumn("h", F.xxhash64("window")), "examples") for d in (found, other)]
-    rows = [r for w in windows for k in (False, True) for r in w.where((F.col("label") > 0) == k).orderBy("h").limit(EXAMPLES).collect()]
+    rows = [r for w in windows for k in (False, True) for r in w.where((F.col("label") > 0) == k).orderBy("h").limit(EXAMPLES // 2).collect()]
     rows = list({bytes(r.window): r for r in rows}.values())
-    y = np.array([r.label > 0 for r in rows], float)
-    cut = np.array([r.label == 2 for r in rows])
-    if min((y == 1).sum(), (y == 0).sum()) < MIN_EXAMPLES:
+    if min(sum(r.label > 0 for r in rows), sum(r.label == 0 for r in rows)) < MIN_EXAMPLES:
         return None
-    x = as_array([bytes(r.window) for r in rows])
-    held = np.array([r.h % 4 == 0 for r in rows])
-    held = held if min(y[held].sum(), (1 - y[held]).sum()) else np.ones(len(y), bool)
+    held = [r.h % 4 == 0 for r in rows]
+    if not 0 < sum(r.label > 0 for r, h in zip(rows, held, strict=True) if h) or not any(h and r.label == 0 for r, h in zip(rows, held, strict=True)):
+        held = [None] * len(rows)
+    parts = []
+    for k, wanted in enumerate(((False, None), (True, None))):
+        own = [(bytes(r.window), r.label) for r, h in zip(rows, held, strict=True) if h in wanted]
+        w, label = map(list, zip(*own, strict=True))
+        more, more_labels = _reshaped(w, label, seed + k)
+        parts.append((as_array(w + more), np.array(label + more_labels)))
     net = CharCNN(seed)
-    keep = ~held if not held.all() else held
-    net.fit(x[keep], y[keep])
-    net.calibrate(x[held], y[held], recall, cut[held])
+    (x, label), (held_x, held_label) = parts
+    net.fit(x, (label > 0).astype(np.float32))
+    net.calibrate(held_x, (held_label > 0).astype(float), recall, held_label == 2)
     return net
 
 
@@ -249,10 +317,10 @@ def spans_of(texts: list[str | None], net: CharCNN | None) -> list[list[tuple[in
         base = base_spans(b, max(map(len, tokens), default=0))
         raw.append(b)
         found.append(base)
-        if net is not None and (some := [w for w in tokens if mixed(w)]):
-            for s, e in located(b, some):
+        if net is not None:
+            for s, e in located(b, tokens):
                 for x, y in outside(s, e, base):
-                    if y - x >= MIN_CANDIDATE and mixed(b[x:y]):
+                    if y - x >= MIN_CANDIDATE:
                         first.append(len(windows))
                         windows += [window(b, *body) for body in bodies(x, y)]
                         owner.append(i)
