@@ -46,10 +46,23 @@ def test_links_connect_like_brute_force():
     bucket = np.sort(rng.integers(0, 3, len(codes)))
     order = np.lexsort((simhash.gray_rank(codes), bucket))
     bucket, codes = bucket[order], codes[order]
-    a, b = simhash.links(bucket, codes)
-    assert all(bucket[i] == bucket[j] for i, j in zip(a, b))
     want = [(i, j) for i in range(len(codes)) for j in range(i) if bucket[i] == bucket[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 3]
-    assert np.array_equal(simhash.labels(len(codes), a, b), simhash.labels(len(codes), *np.array(want).T))
+    forest = simhash.Forest(len(codes))
+    forest.add(*np.array(want).T)
+    assert np.array_equal(simhash.linked(bucket, codes), forest.label)
+    assert forest.label.tolist() == brute_components(list(range(len(codes))), [int(c) ^ int(b) << 100 ^ (int(b) * 0xFFFF << 110) for c, b in zip(codes, bucket)])
+
+
+def test_op5_dense_bucket_stays_small():
+    """16,384 fingerprints alike on all but 14 bits: 3.8 million links, in bounded memory."""
+    import tracemalloc
+
+    codes = np.arange(1 << 14, dtype=np.uint64) << np.uint64(20)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    tracemalloc.start()
+    assert (simhash.linked(np.zeros(len(codes), np.int64), codes) == 0).all()
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
 
 
 def test_gray_rank_inverts_gray_code():
@@ -74,8 +87,9 @@ def test_op5_large_buckets_are_dealt_again_and_lose_no_link(spark):
     codes = [int(x) for x in np.unique(np.concatenate(flips))]
     edges = simhash.fingerprint_links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in codes], "fp long"), split=100).collect()
     place = {int(np.uint64(x).view(np.int64)): i for i, x in enumerate(codes)}
-    got = simhash.labels(len(codes), np.array([place[r.u] for r in edges]), np.array([place[r.v] for r in edges]))
-    assert got.tolist() == brute_components(list(range(len(codes))), codes)
+    forest = simhash.Forest(len(codes))
+    forest.add(np.array([place[r.u] for r in edges]), np.array([place[r.v] for r in edges]))
+    assert forest.label.tolist() == brute_components(list(range(len(codes))), codes)
 
 
 def test_op5_finer_masks_share_out_the_bits_left():

@@ -7,11 +7,13 @@ bucket the fingerprints are sorted by Gray rank and grouped, group by group, int
 a tree whose nodes hold the bits that all members share. The self-join walks pairs
 of nodes: differences accumulate over the bits newly shared at each level, a pair
 is pruned once they exceed the limit, and taken as a whole once all open bits fit
-within it. A bucket leaves a spanning forest of its links, never all pairs.
+within it. Links are joined into a forest as the walk finds them, CHUNK pairs of nodes
+at a time, so a task never holds all pairs of a bucket, however alike its members are.
 
-Null and empty texts have fingerprint zero and link like any other. A null id
-takes no part in the least id of a component (null if it has no other). One row
-per input row, repeated rows included; an empty table gives an empty table.
+Null and empty texts have fingerprint zero and link like any other; texts are read
+whole, however long. A bit set in exactly half of the hashes is 0. A null id takes no
+part in the least id of a component (null if it has no other). One row per input row,
+repeated rows included; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.text import lower_words
+from weftline.llm.text import in_parts, lower_words
 from weftline.sources.shared import written
 
 LIMIT = 3
@@ -34,7 +36,8 @@ BLOCKS = LIMIT + 1
 #: Fingerprints of a bucket that one task holds.
 SPLIT = 1 << 17
 FAN = 8
-CHUNK = 1 << 18
+#: Pairs of nodes that are opened at a time, each into FAN * FAN pairs at most.
+CHUNK = 1 << 13
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -56,15 +59,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint as a long with its bits."""
+    """(id, key, fp): a hash of the text, and the fingerprint as a long with its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in in_parts(batch)):
             fp = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], ["id", "key", "fp"])
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"))
+    return src.mapInArrow(run, "id long, key long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -75,19 +78,23 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return x
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index of each of n nodes' component."""
-    lab = np.arange(n)
-    while len(a):
-        x, y = lab[a], lab[b]
-        low = np.minimum(x, y)
-        np.minimum.at(lab, x, low)
-        np.minimum.at(lab, y, low)
-        while not np.array_equal(nxt := lab[lab], lab):
-            lab = nxt
-        open_ = lab[a] != lab[b]
-        a, b = a[open_], b[open_]
-    return lab
+class Forest:
+    """Components of nodes 0..n-1 under links that are added bit by bit; label: least node of each node's component."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        lab = self.label
+        a, b = lab[a], lab[b]
+        while (open_ := a != b).any():
+            a, b = a[open_], b[open_]
+            low = np.minimum(a, b)
+            np.minimum.at(lab, a, low)
+            np.minimum.at(lab, b, low)
+            while not np.array_equal(nxt := lab[lab], lab):
+                lab[:] = nxt
+            a, b = lab[a], lab[b]
 
 
 class Level:
@@ -119,14 +126,14 @@ def _first_leaf(levels: list[Level], k: int, nodes: np.ndarray) -> np.ndarray:
     return nodes
 
 
-def links(bucket: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that connect all codes of a bucket within limit, directly or through others."""
+def linked(bucket: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """For each code the least position of those in its bucket that are within limit, directly or through others."""
+    forest = Forest(len(codes))
     if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return forest.label
     levels = _tree(bucket, codes)
     top, roots = len(levels) - 1, np.arange(len(levels[-1].mask))
     stack = [(top, roots, roots, np.zeros(len(roots), np.int64), np.zeros(len(roots), np.uint64))]
-    out_a, out_b = [], []
     while stack:
         k, a, b, acc, seen = stack.pop()
         if len(a) > CHUNK:
@@ -139,12 +146,10 @@ def links(bucket: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tuple[np
         if whole.any():
             x, y = a[whole], b[whole]
             same = x == y
-            out_a.append(_first_leaf(levels, k, x[~same]))
-            out_b.append(_first_leaf(levels, k, y[~same]))
+            forest.add(_first_leaf(levels, k, x[~same]), _first_leaf(levels, k, y[~same]))
             if k and same.any():
                 lo, hi = _first_leaf(levels, k, x[same]), _first_leaf(levels, k, x[same] + 1)
-                out_a.append(np.repeat(lo, hi - lo))
-                out_b.append(np.concatenate([np.arange(p, q) for p, q in zip(lo, hi, strict=True)]))
+                forest.add(np.repeat(lo, hi - lo), np.repeat(lo - np.cumsum(hi - lo) + hi - lo, hi - lo) + np.arange((hi - lo).sum()))
         more = ~whole & (acc <= limit)
         if not k or not more.any():
             continue
@@ -155,7 +160,7 @@ def links(bucket: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tuple[np
         x, y = level.first[a][pair] + at // nb[pair], level.first[b][pair] + at % nb[pair]
         up = x <= y
         stack.append((k - 1, x[up], y[up], acc[pair[up]], shared[pair[up]]))
-    return np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
+    return forest.label
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +170,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def joined(keys, codes):
         order = np.lexsort((gray_rank(codes), keys))
         keys, codes = keys[order], codes[order]
-        a, b = links(keys, codes)
-        lab = labels(len(codes), a, b)
+        lab = linked(keys, codes)
         own = np.flatnonzero(lab != np.arange(len(lab)))
         return pa.RecordBatch.from_arrays([pa.array(codes[own].view(np.int64)), pa.array(codes[lab[own]].view(np.int64))], ["u", "v"])
 
@@ -218,15 +222,16 @@ def fingerprint_links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row of docs; component_id is the least id of its component."""
+    """(id, key, fp, root, component_id) for every row of docs: key is a hash of the text, root a fingerprint that
+    stands for the component, component_id its least id."""
     spark = docs.sparkSession
     of_doc = written(spark, fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(spark, of_doc.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(spark, fingerprint_links(fps))
     linked = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    named = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return of_doc.join(named, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+    named = linked.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id")
+    return of_doc.join(named, F.col("fp") == F.col("f")).select("id", "key", "fp", "root", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
