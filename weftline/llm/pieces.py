@@ -54,6 +54,9 @@ class Vocabulary:
             elif not special[i]:
                 found.append((name.encode(), i, model.get_score(i)))
                 self.text[i] = name.replace(SPACE, " ").encode()
+        # Texts are cut before spaces, which holds only if no piece has one after another character.
+        if any(SPACE in p.decode().lstrip(SPACE) for p, _, _ in found):
+            raise ValueError(f"{path}: a piece crosses a space")
         found.sort()
         self.pieces = [p for p, _, _ in found]
         self.ids = np.array([i for _, i, _ in found], np.int64)
@@ -259,18 +262,20 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) for every row of docs."""
+    """(id, ids, restored) for every row of docs: restored tells whether decoding gives the text back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in (part for batch in batches for part in in_parts(batch)):
-            ids = list(c.encode([t or "" for t in b.column(1).to_pylist()]))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids = list(c.encode(texts))
+            same = [c.decode(x) == t.replace(SPACE, " ") for t, x in zip(texts, ids, strict=True)]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate([*ids, np.zeros(0, c.vocabulary.kind)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(same, pa.bool_())], ["id", "ids", "restored"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return src.mapInArrow(run, "id long, ids array<int>")
+    return src.mapInArrow(run, "id long, ids array<int>, restored boolean")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
