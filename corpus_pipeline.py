@@ -1,7 +1,10 @@
 """A corpus from documents: quality rules, near-duplicates, secrets, a mix of sources, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-all but the last return the columns of documents.
+all but the last return the columns of documents, whatever further columns they
+have and however these are named. Null and empty texts go in the first stage; in a
+stage of its own each counts as a text without words. Texts are read whole, however
+long. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,49 +17,56 @@ from weftline.llm import mixing, pieces, quality, secrets, simhash
 from weftline.sources.shared import written
 
 
+def _one_of_each(docs: DataFrame, *more: str) -> DataFrame:
+    """(no_id, id, key, then the columns in more, d): a row, packed in d, for each distinct id, hash of the text and more.
+
+    Rows that repeat are folded before the shuffle, so many of them never meet in a task.
+    """
+    keys = [docs.doc_id.isNull().alias("no_id"), F.coalesce(docs.doc_id.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(docs.text).alias("key")]
+    packed = docs.select(*keys, *(docs[c].alias(f"by_{c}") for c in more), F.struct(*(docs[c] for c in docs.columns)).alias("d"))
+    return packed.groupBy("no_id", "id", "key", *(f"by_{c}" for c in more)).agg(F.first("d").alias("d"))
+
+
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule go."""
+    """Documents that fail a rule go; null and empty texts fail, repeated rows are judged alike."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of its least id; so rows of one id and text become one.
+    """One document of each component stays: that of its least id, of several texts under that id the one with the least hash.
 
-    Documents without an id stay only where no other of their component has one.
+    Rows of one id and text become one. Documents without an id stay only where no other of
+    their component has one, and then one of them.
     """
-    key = F.xxhash64("text")
-    named = docs.select("doc_id", "text")
-    classes = simhash.classes(named)
-    # A component's keeper: its least id; without ids, its fingerprint stands for it.
-    without = classes.where("component_id IS NULL").groupBy("fp").agg(F.min("id").alias("id"))
-    keepers = classes.where("id = component_id").select("id").distinct().union(without.select("id").distinct())
-    kept = docs.join(keepers, docs.doc_id.eqNullSafe(keepers.id), "left_semi")
-    return kept.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    rank = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), "key")
+    keepers = simhash.classes(docs).groupBy("root").agg(F.min(rank).alias("k")).select("k.*")
+    return _one_of_each(docs).join(keepers, ["no_id", "id", "key"], "left_semi").select("d.*")
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; n_chars follows the text."""
+    """Secrets give way to a mark; n_chars, where there is such a column, follows the text. Null texts stay null."""
     clean = secrets.redact(docs, secrets.train(docs))
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Rows alike in id, source and text count together: one stands for all
+    of their copies. Texts without words are never taken."""
     mix = mixing.mix(docs)
-    times = mix.groupBy("id", "source", "size", "key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    times = times.where("copies > 0").select("id", F.col("source").alias("of"), "key", "copies", "rows")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(times, keyed.doc_id.eqNullSafe(times.id) & (keyed._key == times.key) & keyed.source.eqNullSafe(times.of))
-    # Rows alike in id, source and text count together: one of them stands for all copies.
-    one = joined.where("rows > 1").dropDuplicates(["doc_id", "_key", "source"])
-    whole = joined.where("rows = 1").unionByName(one)
-    return whole.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    same = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")).alias("id"), "key", F.col("source").alias("by_source")]
+    times = mix.where("copies > 0").select(*same, "copies").groupBy("no_id", "id", "key", "by_source").agg(F.sum("copies").alias("copies"))
+    times = times.toDF("no_id_", "id_", "key_", "source_", "copies")
+    one = _one_of_each(docs, "source")
+    at = (one.no_id == times.no_id_) & (one.id == times.id_) & (one.key == times.key_) & one.by_source.cast("string").eqNullSafe(times.source_)
+    return one.join(times, at).select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("d.*")
 
 
 def token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens, ids and whether decoding them gives the text back, of every row; null and empty texts have no ids."""
     ids = pieces.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return ids.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return ids.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("secret scan", secret_scan), ("source mix", source_mix), ("token ids", token_ids)]
