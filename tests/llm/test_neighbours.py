@@ -71,4 +71,24 @@ def test_op6_every_query_gets_its_rows(spark):
         got = neighbours.search(some, F.col("vec_id") % 20 == 0).groupBy("query_id").count().collect()
         want = {i for i in ids if i % 20 == 0 and (n == 20 or i < 90)}
         assert {r.query_id for r in got} == want
-        assert [r for r in got if r["count"] != n and (n == 20 or r.query_id)] == []
+        assert [r for r in got if r["count"] != n and r.query_id] == []
+            assert n != 20 or [r["count"] for r in got if r.query_id == 0] == [60]  # three vectors under one id
+
+
+def test_op6_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(6)
+    vectors = [np.float32(rng.normal(size=8)).tolist() for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(0, vectors[0])] * 2 + [(20, vectors[20])] + [(7, vectors[7])] * 3 + [(40, [-x for x in vectors[40]])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.query_id, []).append(r)
+    assert {i: len(g) for i, g in of.items()} == {i: 40 if i == 40 else 20 for i in range(0, 300, 20)}
+    assert sorted(r["rank"] for r in of[40]) == sorted([*range(1, 21)] * 2)
+    hits = 0
+    for i in (0, 20, 60):
+        q = np.array(vectors[i], float)
+        want = sorted((-float(q @ np.array(v)), j) for j, v in rows if j != i)[:20]
+        hits += sum(a == b.vec_id for (_, a), b in zip(want, sorted(of[i], key=lambda r: r["rank"])))
+    assert hits >= 54
+    assert neighbours.list_count(10**4) == 100 and neighbours.list_count(10**8) == 10**4

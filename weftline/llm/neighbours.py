@@ -21,8 +21,10 @@ and sizes, and the probe queries.
 
 Null vectors, zero ones and those with null or non-finite components take no part,
 nor do null ids and vectors of another length than most. Rows of the query's own
-id are no candidates. Ties go to the smaller id. An empty table gives an empty
-table.
+id are no candidates. Query rows alike in id and vector are one query; those of one
+id with several vectors are as many queries, each with its own ranks. Among the
+candidates every row counts, repeated ones too. Ties go to the smaller id. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ from pyspark.sql.window import Window as W
 from weftline.llm.text import least_hashes
 from weftline.sources.shared import written
 
-SAMPLE, MOST_LISTS, ROWS_A_LIST = 20_000, 1024, 16
+#: Lists grow with the square root of the rows. The sample has ROWS_A_LIST rows for each, SAMPLE at least; MOST_LISTS are
+#: reached at a billion rows and bound what the driver holds (half a million sampled vectors).
+SAMPLE, MOST_LISTS, ROWS_A_LIST = 20_000, 1 << 15, 16
 PROBE_QUERIES, RECALL = 192, 0.97
 ROWS_A_PIECE, QUERIES_A_PIECE = 4096, 8192
 BLOCK, QUERY_BLOCK, ROW_BLOCK = 16, 256, 1024
@@ -130,13 +134,17 @@ def top_of(qid: np.ndarray, xid: np.ndarray, score: np.ndarray, k: int) -> np.nd
     return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
+def list_count(rows: int) -> int:
+    return min(MOST_LISTS, round(rows**0.5))
+
+
 class Index:
     """Centres and rotation; small, and sent to the tasks with their code."""
 
     def __init__(self, sample: np.ndarray, longest: float, rows: int, seed: int):
         self.dim, self.longest = sample.shape[1], longest
         x = lengthened(sample, longest)
-        lists = max(1, min(MOST_LISTS, len(x) // ROWS_A_LIST, round(rows**0.5)))
+        lists = max(1, min(len(x) // ROWS_A_LIST, list_count(rows)))
         self.centres = k_means(x, lists, seed)
         self.rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.dim + 1, self.dim + 1)))[0]
 
@@ -144,9 +152,9 @@ class Index:
         return (lengthened(x, self.longest if rows else None) @ self.rotation).astype(np.float32)
 
     def search(self, left: pa.Table, right: pa.Table, k: int) -> pa.Table:
-        """left: rows (vec_id, v); right: queries (query_id, q, bound: least score wanted, or null)."""
+        """left: rows (vec_id, v); right: queries (n: their numbers, query_id, q, bound: least score wanted, or null)."""
         x, q = matrix(left.column("v"), self.dim), matrix(right.column("q"), self.dim)
-        xid, qid = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+        xid, qid, number = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy(), right.column("n").to_numpy()
         least = right.column("bound").to_numpy().astype(float)
         out = []
         if len(x) and len(q):
@@ -158,14 +166,15 @@ class Index:
                 limit = np.where(np.isnan(least_part), np.inf, (length + self.longest**2 - 2 * least_part) * (1 + _SLACK) + _SLACK)
                 a, b = scan(self.turned(part, False), tx, limit.astype(np.float32), k, qid[i : i + QUERY_BLOCK], xid)
                 score = np.einsum("ij,ij->i", part[a], x[b].astype(np.float64))
-                keep = top_of(qid[i + a], xid[b], score, k)
-                out.append((qid[i + a][keep], xid[b][keep], score[keep]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2]})
+                keep = top_of(number[i + a], xid[b], score, k)
+                a, b = i + a[keep], b[keep]
+                out.append((number[a], qid[a], xid[b], score[keep]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+        return pa.table({"n": cols[0].astype(np.int64), "query_id": cols[1].astype(np.int64), "vec_id": cols[2].astype(np.int64), "score": cols[3]})
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -179,7 +188,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
         return empty
     dim, n, longest = lengths[0].d, lengths[0].n, float(lengths[0].m) ** 0.5
     rows = rows.where(F.size("v") == dim)
-    sample = least_hashes(rows.select("v", F.xxhash64("vec_id", F.lit(seed)).alias("h")), SAMPLE, n=n).select("v").toArrow()
+    sample = least_hashes(rows.select("v", F.xxhash64("vec_id", F.lit(seed)).alias("h")), max(SAMPLE, ROWS_A_LIST * list_count(n)), n=n).select("v").toArrow()
     index = Index(matrix(sample.column("v"), dim), longest, n, seed)
 
     def assign(batches):
@@ -188,27 +197,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(lengthened(x, index.longest), index.centres, 1)[:, 0])], ["vec_id", "v", "list"])
 
     listed = written(spark, rows.mapInArrow(assign, f"vec_id long, v array<{dict(vectors.dtypes)[vector_col][6:-1]}>, list long"), "listed")
-    queries = listed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("vec_id", F.lit(seed + 1)).alias("h"))
+    queries = listed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+    queries = written(spark, queries.select(F.monotonically_increasing_id().alias("n"), "query_id", "q", F.xxhash64("query_id", F.lit(seed + 1)).alias("h")), "queries")
 
     sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_LISTS rows
     rows_of = np.zeros(len(index.centres), np.int64)
     for r in sizes:
         rows_of[r["list"]] = r["n"]
-    own_rows = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    own_rows = listed.where(is_query).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def probes(first: int, last: int):
         """Lists from first on, up to last, or beyond it until they hold k candidates (not for the nearest alone)."""
 
         def run(batches):
             for b in batches:
-                q = matrix(b.column(1), dim)
+                q = matrix(b.column(2), dim)
                 at = nearest(lengthened(q, None), index.centres, max(2, len(rows_of)))
                 enough = (np.cumsum(rows_of[at], axis=1) < k + own_rows).sum(1) + 1
                 stop = np.maximum(last, enough) if first else np.full(len(q), last)
                 place = np.arange(at.shape[1])[None]
                 use = (place >= first) & (place < stop[:, None]) & (rows_of[at] > 0)
                 take = pa.array(np.repeat(np.arange(len(q)), use.sum(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(at[use].astype(np.int64))], ["query_id", "q", "bound", "list"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(4)), pa.array(at[use].astype(np.int64))], ["n", "query_id", "q", "bound", "list"])
 
         return run
 
@@ -220,15 +230,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
         plan = [(r["list"], -(-r["n"] // ROWS_A_PIECE), -(-many[r["list"]] // QUERIES_A_PIECE)) for r in sizes if r["list"] in many]
         pieces = F.broadcast(spark.createDataFrame(plan, "list long, xs long, qs long"))
         left = listed.join(pieces, "list").select("list", "vec_id", "v", F.pmod(F.xxhash64("vec_id"), "xs").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("y"))
-        right = asked.join(pieces, "list").select("list", "query_id", "q", "bound", F.pmod(F.xxhash64("query_id"), "qs").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"))
+        right = asked.join(pieces, "list").select("list", "n", "query_id", "q", "bound", F.pmod(F.xxhash64("n"), "qs").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"))
         both = left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y"))
-        return both.applyInArrow(lambda a, b: index.search(a, b, k), "query_id long, vec_id long, score double")
+        return both.applyInArrow(lambda a, b: index.search(a, b, k), "n long, query_id long, vec_id long, score double")
 
     # How many lists to probe: all rows against a bounded set of queries.
-    probe = least_hashes(queries, PROBE_QUERIES).select("query_id", "q").toArrow()
+    probe = least_hashes(queries, PROBE_QUERIES).select("n", "query_id", "q").toArrow()
     if not probe.num_rows:
         return empty
-    pq, pid = matrix(probe.column("q"), dim).astype(np.float64), probe.column("query_id").to_numpy()
+    pq, pid, pn = matrix(probe.column("q"), dim).astype(np.float64), probe.column("query_id").to_numpy(), probe.column("n").to_numpy()
 
     def brute(batches):
         for b in batches:
@@ -239,23 +249,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 42, id
             a = np.repeat(np.arange(len(pid)), top.shape[1])
             good = np.isfinite(s[a, top.ravel()])
             a, t = a[good], top.ravel()[good]
-            yield pa.RecordBatch.from_arrays([pa.array(pid[a]), pa.array(xid[t]), pa.array(s[a, t]), pa.array(own[t])], ["query_id", "vec_id", "score", "list"])
+            yield pa.RecordBatch.from_arrays([pa.array(pn[a]), pa.array(xid[t]), pa.array(s[a, t]), pa.array(own[t])], ["n", "vec_id", "score", "list"])
 
-    true = _ranked(listed.mapInArrow(brute, "query_id long, vec_id long, score double, list long"), k).select("query_id", "list").collect()
+    true = _ranked(listed.mapInArrow(brute, "n long, vec_id long, score double, list long"), k).select("n", "list").collect()
     order = nearest(lengthened(pq, None), index.centres, max(2, len(index.centres)))
-    place = {(int(i), int(c)): r for i, row in zip(pid, order, strict=True) for r, c in enumerate(row)}
+    place = {(int(i), int(c)): r for i, row in zip(pn, order, strict=True) for r, c in enumerate(row)}
     of: dict[int, list[int]] = {}
     for r in true:
-        of.setdefault(r.query_id, []).append(place[r.query_id, r["list"]])
+        of.setdefault(r.n, []).append(place[r.n, r["list"]])
     # Queries that need no further list (hot equal vectors, say) would only lower the number for the others.
     ranks = np.sort([x for own in of.values() if max(own) for x in own])
     lists = int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1 if len(ranks) else 1
 
-    schema = f"query_id long, q {query_type}, bound double, list long"
-    asked = queries.select("query_id", "q", F.lit(None).cast("double").alias("bound"))
+    schema = f"n long, query_id long, q {query_type}, bound double, list long"
+    asked = queries.select("n", "query_id", "q", F.lit(None).cast("double").alias("bound"))
     first = written(spark, scanned(asked.mapInArrow(probes(0, 1), schema)), "first")
-    bounds = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("b"), F.col("score").alias("bound"))
-    more = queries.join(bounds, F.col("query_id") == F.col("b"), "left").select("query_id", "q", "bound")
+    bounds = _ranked(first, k).where(F.col("rank") == k).select(F.col("n").alias("b"), F.col("score").alias("bound"))
+    more = queries.join(bounds, F.col("n") == F.col("b"), "left").select("n", "query_id", "q", "bound")
     found = first.union(scanned(written(spark, more.mapInArrow(probes(1, lists), schema), "asked")))
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
