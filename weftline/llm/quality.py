@@ -7,8 +7,8 @@ changes the verdict, only its cost.
 
 Null and empty texts have no words and fail the base rule. Texts are read whole;
 repeated rows are judged alike; an empty table gives an empty table, and an empty
-sample leaves the rules in the order written. Nothing is shuffled: every figure
-is computed within its row. Windows of words are told apart by 64-bit hashes.
+sample leaves the rules in the order written. No document is shuffled: every figure
+is computed within its row, the sample is drawn row by row where the rows are. Windows of words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from weftline.llm.text import SPACE, let, words
 from weftline.sources.shared import written
 
 WINDOW = 5
+#: Rows of the sample, about.
 SAMPLE_ROWS = 512
+MIN_WORDS = 10
 #: The columns that base() adds; a document's own columns of these names are not touched.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -51,10 +53,10 @@ def _repeat_words(w: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h)))
 
 
-def base(text: Column) -> Column:
-    """A struct of the BASE figures, as longs."""
+def base(text: Column, least: int = 0) -> Column:
+    """A struct of the BASE figures, as longs; texts of fewer words than least are not searched for repeats (0 then)."""
     text = F.coalesce(text, F.lit(""))
-    from_words = let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeat_words(w).alias("r")))
+    from_words = let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), F.when(F.size(w) >= least, _repeat_words(w)).otherwise(F.lit(0)).alias("r")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     from_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
@@ -63,7 +65,7 @@ def base(text: Column) -> Column:
 
 
 def base_failed(b: Column) -> Column:
-    return (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
+    return (b["n_words"] < MIN_WORDS) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
 
 
 #: name: rejects(base figures, text).
@@ -77,8 +79,9 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def ordered_rules(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """Names of RULES by rejections per second, measured on SAMPLE_ROWS rows at most."""
-    sample = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text")).limit(SAMPLE_ROWS)
+    """Names of RULES by rejections per second, measured on about SAMPLE_ROWS rows from all over docs (all of fewer)."""
+    share = SAMPLE_ROWS / max(1, docs.count())
+    sample = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text")).where(F.lit(True) if share >= 1 else F.rand(42) < share)
     sample = written(docs.sparkSession, sample.select("text", base(F.col("text")).alias("b")), "sample")
 
     def timed(rejects: Column) -> tuple[int, float]:
@@ -116,7 +119,7 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns."""
     order = ordered_rules(docs, text_col)
     row = F.struct(*(docs[c] for c in docs.columns))
-    packed = docs.select(row.alias("d"), base(docs[text_col]).alias("b"))
+    packed = docs.select(row.alias("d"), base(docs[text_col], MIN_WORDS).alias("b"))
     return packed.where(verdict(F.col("b"), F.col("d")[text_col], order)).select("d.*")
 
 
