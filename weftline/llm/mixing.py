@@ -7,8 +7,10 @@ program over the words still missing. Which documents of a length are taken
 follows a seeded hash.
 
 Sources: code point order, null last. A null text has length 0; documents of
-length 0 are never taken. Repeated rows each count and are decided on their own.
-An empty table gives an empty result.
+length 0 are never taken. Texts are counted whole, however long. Rows alike in id,
+source and text each count; they are ranked as one row with their number, so their
+repeats never meet in a task. Ties of the hash are broken by id and text hash. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from weftline.sources.shared import written
 MAX_TIMES = 3
 #: Words left to the dynamic program where enough short documents remain.
 EXACT = 1 << 15
-#: Documents of one source and length that one task ranks.
+#: Documents of one source and length that one task ranks, about.
 RANKED = 1024
 
 
@@ -105,8 +107,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, i
     spark = docs.sparkSession
     source = docs[source_col].cast("string")
     sized = docs.select(docs[id_col].alias("id"), source.alias("source"), word_count(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("key"))
+    sized = sized.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
     sized = written(spark, sized, "sized").withColumn("h", F.xxhash64(F.lit(seed), "id", "key"))
-    per_length = sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    per_length = sized.groupBy("source", "size").agg(F.sum("rows").alias("n"))
     sums = sorted(((r[0], int(r[1])) for r in per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n"))).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     goal = targets([s for _, s in sums], [weights[i % len(weights)] for i in range(len(sums))], sum(s for _, s in sums))
     rows = []
@@ -122,12 +125,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 42, i
     # Slots follow the order of the unsigned hash, so ranks within slots add up to ranks of the whole length.
     slot = F.floor((F.shiftrightunsigned("h", 32).cast("long") * slots) / F.lit(float(1 << 32))).cast("long")
     dealt = sized.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l"))).withColumn("slot", slot)
-    many = dealt.where(F.col("n") > RANKED).groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("m"))
+    many = dealt.where(F.col("n") > RANKED).groupBy("source", "size", "slot").agg(F.sum("rows").alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy("source", "size").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = many.select(F.col("source").alias("bs"), F.col("size").alias("bl"), F.col("slot").alias("bk"), before.alias("before"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "slot").orderBy(F.shiftrightunsigned("h", 1), "h", "id"))
-    ranked = dealt.withColumn("rank", rank).join(before, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bl")) & (F.col("slot") == F.col("bk")), "left")
-    one_more = (F.coalesce("before", F.lit(0)) + F.col("rank") <= F.col("quota")).cast("long")
+    ahead = W.partitionBy("source", "size", "slot").orderBy(F.shiftrightunsigned("h", 1), "h", "id", "key").rowsBetween(W.unboundedPreceding, -1)
+    ranked = dealt.withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0))).join(before, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bl")) & (F.col("slot") == F.col("bk")), "left")
+    ranked = ranked.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    one_more = (F.coalesce("before", F.lit(0)) + F.col("ahead") + F.col("nth") <= F.col("quota")).cast("long")
     return ranked.select("id", "source", "size", "key", "source_size", "target", F.when(F.col("size") > 0, F.col("passes") + one_more).otherwise(F.lit(0)).cast("long").alias("copies"))
 
 
