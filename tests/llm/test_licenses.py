@@ -54,3 +54,17 @@ def test_anchor_words_are_in_every_possible_match():
 def test_main_path_runs_no_python(spark):
     plan = licenses.op3_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op3_equals_its_sql_and_long_texts_stay_linear(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = licenses.op3_licenses(spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(licenses.SQL).fetchall())
+    rows = [(None, f"{k} words " + licenses.TEMPLATES["MIT-permission"]) for k in range(3)] + [(7, "x " * 300_000 + "Released under the MIT License " * 2000 + "Licensed under CC BY 4.0 y"), (7, "Licensed under CC BY 4.0")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))).collect()
+    assert sorted(r.license for r in got if r.id is None) == ["MIT-permission"] * 3
+    assert sorted((r.license, r.place) for r in got if r.id == 7) == [("CC-BY-4.0", 0), ("CC-BY-4.0", 310_000), ("MIT", 300_000)]

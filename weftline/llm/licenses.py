@@ -13,9 +13,10 @@ match holds one of a template's anchor words (they cover over a fifth of its
 shingles), and a band can only meet where a window holds a shingle of a template
 of its class (the templates of one m).
 
-A null text is empty; texts without a whole shingle match nothing. Rows of one id
-(null included) count as one document, repeated rows included. An empty table
-gives an empty table. Texts are scanned whole.
+A null text is empty; texts without a whole shingle match nothing. Rows alike in id
+and text count as one document; those of one id (or without one) and several texts
+are as many. An empty table gives an empty table. Texts are scanned whole; what goes
+on from a place is the shingles around it, so the work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -102,29 +103,49 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     spark = docs.sparkSession
     known = template_table(spark, templates)
     low = F.lower("text")
+    span = 2 * max(len(plain_words(t)) for t in templates.values())  # over the length of any window
     some = F.lit(False)
     for word in anchors(templates):
         some = some | low.contains(word)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(some)
     # Every table made from the templates is broadcast: at most as many rows as they have shingles and bands.
     classes = F.broadcast(known.select("m", "step", F.explode("shingles").alias("h")).distinct().groupBy("h").agg(F.collect_set(F.struct("m", "step")).alias("classes")))
-    hits = src.select("id", shingle_hashes(F.col("text")).alias("all")).withColumn("key", F.xxhash64("all"))
+    hits = src.select("id", F.xxhash64("text").alias("key"), shingle_hashes(F.col("text")).alias("all"))
     wanted = F.broadcast(known.agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("wanted")))
     hits = hits.join(wanted, F.arrays_overlap("all", "wanted"))
     places = F.filter(F.transform("all", lambda x, i: F.struct(x.alias("h"), i.alias("i"))), lambda e: F.array_contains("wanted", e["h"]))
-    placed = hits.select("id", "all", F.explode(places).alias("e")).join(classes, F.col("e.h") == F.col("h")).select("id", "all", F.col("e.i").alias("i"), F.explode("classes").alias("c"))
+    near = F.transform(places, lambda e: F.struct(e["h"].alias("h"), e["i"].alias("i"), F.slice("all", F.greatest(F.lit(0), e["i"] - span) + 1, 2 * span).alias("around")))
+    placed = hits.select("id", "key", F.explode(near).alias("e")).join(classes, F.col("e.h") == F.col("h")).select("id", "key", F.col("e.i").alias("i"), F.col("e.around").alias("around"), F.explode("classes").alias("c"))
     size = F.col("c.m") + F.col("c.step") - 1
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - size + 1) / F.col("c.step"))).cast("int")
     starts = F.sequence(first, F.greatest(first, F.floor(F.col("i") / F.col("c.step")).cast("int")))
-    windows = placed.select("id", F.col("c.m").alias("m"), F.explode(starts).alias("k"), F.col("c.step").alias("step"), "all")
-    windows = windows.select("id", "m", (F.col("k") * F.col("step")).alias("place"), F.array_distinct(F.slice("all", F.col("k") * F.col("step") + 1, F.col("m") + F.col("step") - 1)).alias("shingles")).distinct()
+    windows = placed.select("id", "key", F.col("c.m").alias("m"), F.explode(starts).alias("k"), F.col("c.step").alias("step"), "i", "around")
+    first = F.col("k") * F.col("step")
+    shingles = F.slice("around", first - F.greatest(F.lit(0), F.col("i") - span) + 1, F.col("m") + F.col("step") - 1)
+    windows = windows.select("id", "key", "m", first.alias("place"), F.array_distinct(shingles).alias("shingles")).dropDuplicates(["id", "key", "m", "place"])
     banded = known.select("license", F.col("m").alias("tm"), F.col("shingles").alias("of"), F.explode(bands(F.col("shingles"))).alias("tb"))
     met = windows.withColumn("b", F.explode(bands(F.col("shingles")))).join(F.broadcast(banded), (F.col("b") == F.col("tb")) & (F.col("m") == F.col("tm")))
     share = F.size(F.array_intersect("of", "shingles")) / F.col("m")
-    found = met.select("id", "license", share.alias("containment"), "place").where(F.col("containment") >= CONTAINMENT)
-    best = found.groupBy("id", "license").agg(F.max_by(F.struct("containment", "place"), F.struct("containment", -F.col("place"))).alias("b"))
+    found = met.select("id", "key", "license", share.alias("containment"), "place").where(F.col("containment") >= CONTAINMENT)
+    best = found.groupBy("id", "key", "license").agg(F.max_by(F.struct("containment", "place"), F.struct("containment", -F.col("place"))).alias("b"))
     return best.select("id", "license", "b.containment", F.col("b.place").cast("long").alias("place"))
 
 
+#: The same windows, by exact hits of template shingles instead of bands.
+SQL = rf"""
+WITH t AS (SELECT UNNEST({list(TEMPLATES)!r}) AS license, UNNEST({[t.replace(chr(34), " ").replace(chr(39), " ") for t in TEMPLATES.values()]!r}) AS notice),
+tw AS (SELECT license, regexp_extract_all(lower(notice), '[\p{{L}}\p{{N}}]+') AS ws FROM t),
+ts AS (SELECT DISTINCT license, UNNEST([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]) AS s FROM tw),
+tm AS (SELECT license, s, COUNT(*) OVER (PARTITION BY license) AS m FROM ts),
+k AS (SELECT license, s, m, GREATEST(1, m // 8) AS step FROM tm),
+d AS (SELECT row_number() OVER () AS rid, doc_id, ws FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents)),
+g AS (SELECT rid, UNNEST(range(0, len(ws) - 4)) AS i, UNNEST([array_to_string(ws[j+1:j+5], ' ') FOR j IN range(0, len(ws) - 4)]) AS s FROM d WHERE len(ws) >= 5),
+h AS (SELECT rid, i, license, s, m, step, UNNEST(range(GREATEST(0, CAST(CEIL((i - m - step + 2) / step) AS BIGINT)), i // step + 1)) AS w FROM g JOIN k USING (s)),
+c AS (SELECT rid, license, w * step AS place, COUNT(DISTINCT s) / m AS containment FROM h GROUP BY rid, license, w, step, m),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY containment DESC, place) AS n FROM c WHERE containment >= {CONTAINMENT})
+SELECT doc_id, license, CAST(containment AS DOUBLE) AS containment, CAST(place AS BIGINT) AS place FROM b JOIN d USING (rid) WHERE n = 1
+"""
+
+
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
