@@ -7,8 +7,10 @@ sentence labels. Only the text is an input.
 
 Null and empty texts have one empty sentence and score by the bias alone. Labels
 that are null are left out; documents with several labels count as toxic if any
-is 1. Without labels of both kinds every score is 0. Repeated rows score alike.
-Texts are scored whole. An empty table gives an empty table.
+is 1, and of several texts of one labelled id the one with the least hash is
+learned. Without labels of both kinds every score is 0. Repeated rows score alike.
+Texts are scored whole, however long; to learn from, one with more than FIT_BYTES is
+not drawn. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import LOWER, in_fold, least_hashes
+from weftline.llm.text import LOWER, in_fold, in_parts, least_hashes
 
 SIZES = (5, 7)
 BITS = 18
 #: Bounds of the training sample, and of the n-grams that get a weight.
 TOXIC_DOCS, OTHER_DOCS, FEATURES = 3000, 5000, 4096
+#: Bytes of texts of either label that the driver holds to fit.
+FIT_BYTES = 24 << 20
 THRESHOLD = 0.7
 #: Documents whose n-grams are held at once while fitting.
 FITTED_AT_ONCE = 128
@@ -155,13 +159,22 @@ def calibrated(model: Model, texts: list[str | None], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 42) -> Model | None:
-    """Fit on a bounded sample of the labelled documents given: TOXIC_DOCS and OTHER_DOCS by least hash; a fourth of it places the threshold."""
+    """Fit on a bounded sample of the labelled documents given: TOXIC_DOCS and OTHER_DOCS by least hash, FIT_BYTES of either
+    at most; a fourth of it places the threshold."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("k")).agg(F.max(label_col).alias("y"))
     known = known.withColumn("h", F.xxhash64("k", F.lit(seed)))
     sample = least_hashes(known.where("y = 1"), TOXIC_DOCS).union(least_hashes(known.where("y = 0"), OTHER_DOCS))
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    # At most TOXIC_DOCS + OTHER_DOCS ids are broadcast.
-    rows = src.join(F.broadcast(sample), F.col("id") == F.col("k")).select("id", "h", "y", "text").dropDuplicates(["id"]).collect()
+    src = src.withColumn("key", F.xxhash64("text")).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))))
+    # At most TOXIC_DOCS + OTHER_DOCS ids are broadcast, and the sizes of their texts collected before any text is.
+    drawn = src.join(F.broadcast(sample), F.col("id") == F.col("k")).groupBy("id", "h", "y").agg(F.min(F.struct("key", "size")).alias("t")).select("id", "h", "y", "t.*").collect()
+    left, some = {0: FIT_BYTES, 1: FIT_BYTES}, []
+    for r in sorted(drawn, key=lambda r: (r.h, r.id)):
+        if r.size <= left[int(r.y)]:
+            left[int(r.y)] -= r.size
+            some.append((r.id, r.key, r.h, int(r.y)))
+    wanted = docs.sparkSession.createDataFrame(some, "k long, key_ long, h long, y int")
+    rows = src.join(F.broadcast(wanted), (F.col("id") == F.col("k")) & (F.col("key") == F.col("key_"))).groupBy("id", "h", "y").agg(F.first("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.h, r.id))
     y = np.array([r.y for r in rows], float)
     if not y.sum() or not (1 - y).sum():
@@ -178,7 +191,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """(id, score, sentences): sentences holds start:end (code points) of each sentence scored at least offending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in in_parts(batch)):
             texts = b.column(1).to_pylist()
             if model is None:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0.0] * len(texts)), pa.array([""] * len(texts))], ["id", "score", "sentences"])
