@@ -109,6 +109,45 @@ def test_op7_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_op7_noisy_or_against_sentence_by_sentence():
+    """Scores and the fit's descent against plain loops over documents and sentences."""
+    bad, fine = "you vile grobnak", "a kind word"
+    texts = [f"{bad if i % 3 == 0 else fine} number {i}. the cat sat on mat {i}!" for i in range(40)] + ["", None]
+    y = np.array([float(i % 3 == 0) for i in range(40)] + [0.0, 0.0])
+    model = toxicity.fit(texts, y)
+    z, owner, _ = model.sentences(texts)
+    got = model.scores(z, owner, len(texts))
+    loss = 0.0
+    for d, t in enumerate(texts):
+        raw = (t or "").lower().encode() + b"\n"
+        clean = 1.0
+        for sentence in re.findall(rb"[^.!?\n]*[.!?\n]", raw):
+            logit = model.bias
+            for n in toxicity.SIZES:
+                for i in range(len(sentence) - n + 1):
+                    h, _ = toxicity._grams(np.frombuffer(sentence[i : i + n], np.uint8), np.zeros(n, np.int64), n)
+                    logit += float(model.weights[n][h[0]])
+            clean *= 1 - 1 / (1 + np.exp(-logit))
+        p = 1 - clean
+        want = 1 / (1 + np.exp(-(np.log(p / (1 - p)) - model.at + np.log(0.7 / 0.3))))
+        assert abs(got[d] - want) < 1e-6
+        loss -= (0.5 / y.sum() * np.log(p) if y[d] else 0.5 / (1 - y).sum() * np.log(1 - p))
+    assert loss < 0.1 < np.log(2)
+
+
+def test_op7_takes_clashing_columns_and_bounds_the_texts_it_collects(spark, monkeypatch):
+    bad, fine = "the cat sat. you vile grobnak! bye now.", "the cat sat on mats. a kind word! bye now."
+    rows = [(i, bad if i % 2 else fine) for i in range(60)] + [(1, fine), (101, bad * 1000), (3, bad), (3, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "k", "y", "h", "key", "size", "score", "t"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(60), 101]], "doc_id long, toxic int").withColumn("k", F.lit("clash"))
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 20_000)
+    a, b = toxicity.train(docs, labels), toxicity.train(docs.repartition(3), labels)
+    assert all((a.weights[n] == b.weights[n]).all() for n in toxicity.SIZES) and a.at == b.at
+    assert toxicity.score(docs, a).count() == len(rows)
+
+
 def test_folds(spark):
     ids = [0, 1, 17, 123456789, None]
     got = spark.createDataFrame([(i,) for i in ids], "i long").select(in_fold(F.col("i"), 3, 1)).collect()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.text import in_parts, least_hashes
+from weftline.llm.text import hash_bound, in_parts
 from weftline.sources.shared import written
 
 # The rules.
@@ -286,7 +286,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recal
     src = docs.where(docs[text_col].isNotNull()).select(text, F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("h"))
     some = F.col("text").contains("AKIA") | low.contains("password") | low.contains("passwd") | low.contains("secret") | low.contains("token") | low.contains("api")
     n = src.agg(F.count_if(some), F.count_if(~some)).first()
-    found, other = least_hashes(src.where(some), FINDING_DOCS, n=n[0]), least_hashes(src.where(~some), OTHER_DOCS, n=n[1])
+    found, other = (src.where(w & (F.col("h") <= hash_bound(src.where(w), limit, n=m))) for w, limit, m in ((some, FINDING_DOCS, n[0]), (~some, OTHER_DOCS, n[1])))
     windows = [written(docs.sparkSession, _examples(d.select("text")).distinct().withColumn("h", F.xxhash64("window")), "examples") for d in (found, other)]
     rows = [r for w in windows for k in (False, True) for r in w.where((F.col("label") > 0) == k).orderBy("h").limit(EXAMPLES // 2).collect()]
     rows = list({bytes(r.window): r for r in rows}.values())

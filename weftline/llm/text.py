@@ -56,6 +56,11 @@ def least_hashes(df: DataFrame, limit: int, h: str = "h", n: int | None = None)
     return df.orderBy(h).limit(limit)
 
 
+def hash_bound(df: DataFrame, limit: int, h: str = "h", n: int | None = None) -> int:
+    """The hash of the last of least_hashes: rows up to it are found again by a filter, and never move."""
+    return least_hashes(df.select(h), limit, h, n).agg(F.max(h)).first()[0] or 0
+
+
 def in_parts(batch: pa.RecordBatch, place: int = 1, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, each with about size bytes in the text column at place (one row at least),
     so that a task holds little beside the batch itself."""
