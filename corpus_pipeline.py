@@ -17,14 +17,19 @@ from weftline.llm import mixing, pieces, quality, secrets, simhash
 from weftline.sources.shared import written
 
 
-def _one_of_each(docs: DataFrame, *more: str) -> DataFrame:
-    """(no_id, id, key, then the columns in more, d): a row, packed in d, for each distinct id, hash of the text and more.
+def _keys(doc_id, key, **more) -> list:
+    """Key columns without nulls, so that a grouping and a join by them share one shuffle."""
+    found = [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("id"), key.alias("key")]
+    return found + [x for n, c in more.items() for x in (c.isNull().alias(f"no_{n}"), F.coalesce(c.cast("string"), F.lit("")).alias(n))]
+
+
+def _one_of_each(docs: DataFrame, keys: list) -> DataFrame:
+    """keys and d: a row of docs, packed in d, for each distinct value of keys.
 
     Rows that repeat are folded before the shuffle, so many of them never meet in a task.
     """
-    keys = [docs.doc_id.isNull().alias("no_id"), F.coalesce(docs.doc_id.cast("long"), F.lit(0).cast("long")).alias("id"), F.xxhash64(docs.text).alias("key")]
-    packed = docs.select(*keys, *(docs[c].alias(f"by_{c}") for c in more), F.struct(*(docs[c] for c in docs.columns)).alias("d"))
-    return packed.groupBy("no_id", "id", "key", *(f"by_{c}" for c in more)).agg(F.first("d").alias("d"))
+    packed = docs.select(*keys, F.struct(*(docs[c] for c in docs.columns)).alias("d"))
+    return packed.groupBy(*packed.columns[:-1]).agg(F.first("d").alias("d"))
 
 
 def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,9 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id and text become one. Documents without an id stay only where no other of
     their component has one, and then one of them.
     """
-    rank = F.struct(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), "key")
+    rank = F.struct(*_keys(F.col("id"), F.col("key")))
     keepers = simhash.classes(docs).groupBy("root").agg(F.min(rank).alias("k")).select("k.*")
-    return _one_of_each(docs).join(keepers, ["no_id", "id", "key"], "left_semi").select("d.*")
+    return _one_of_each(docs, _keys(docs.doc_id, F.xxhash64(docs.text))).join(keepers, ["no_id", "id", "key"], "left_semi").select("d.*")
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,12 +60,10 @@ def source_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows alike in id, source and text count together: one stands for all
     of their copies. Texts without words are never taken."""
     mix = mixing.mix(docs)
-    same = [F.col("id").isNull().alias("no_id"), F.coalesce(F.col("id").cast("long"), F.lit(0).cast("long")).alias("id"), "key", F.col("source").alias("by_source")]
-    times = mix.where("copies > 0").select(*same, "copies").groupBy("no_id", "id", "key", "by_source").agg(F.sum("copies").alias("copies"))
-    times = times.toDF("no_id_", "id_", "key_", "source_", "copies")
-    one = _one_of_each(docs, "source")
-    at = (one.no_id == times.no_id_) & (one.id == times.id_) & (one.key == times.key_) & one.by_source.cast("string").eqNullSafe(times.source_)
-    return one.join(times, at).select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("d.*")
+    names = ["no_id", "id", "key", "no_source", "source"]
+    times = mix.where("copies > 0").select(*_keys(F.col("id"), F.col("key"), source=F.col("source")), "copies").groupBy(*names).agg(F.sum("copies").alias("copies"))
+    one = _one_of_each(docs, _keys(docs.doc_id, F.xxhash64(docs.text), source=docs.source))
+    return one.join(times, names).select("d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("d.*")
 
 
 def token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
