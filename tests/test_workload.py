@@ -97,3 +97,19 @@ def test_binary_relation_round_trip_and_errors(spark, tmp_path):
     np.array([3, 2, 1], "<u8").tofile(tmp_path / "bad.rel")
     with pytest.raises(Exception, match="don't fit"):
         spark.read.format("u64rel").load(str(tmp_path / "bad.rel")).collect()
+
+
+def test_binary_relation_columns_and_bounded_files(spark, tmp_path):
+    from weftline.sources.u64file import register
+
+    register(spark)
+    out = tmp_path / "many"
+    spark.range(1000).selectExpr("id AS a", "-id AS b", "id * 2 AS c").repartition(3).write.format("u64rel").option("rows_per_file", 100).mode("append").save(str(out))
+    files = [p for p in out.iterdir() if not p.name.startswith(".")]
+    assert len(files) >= 10 and all(np.fromfile(p, "<u8")[0] <= 100 for p in files)
+    df = spark.read.format("u64rel").option("columns", "2,0").load(str(out))
+    assert df.columns == ["c2", "c0"] and sorted(map(tuple, df.collect())) == [(2 * i, i) for i in range(1000)]
+    assert spark.read.format("u64rel").load(str(out)).agg(F.sum("c1")).first()[0] == -499_500
+    np.array([1, 2, 5, 6], "<u8").tofile(out / "odd.rel")
+    with pytest.raises(Exception, match="columns in"):
+        spark.read.format("u64rel").load(str(out)).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LIMB = 22
+_LIMB = 16
 _MASK = (1 << _LIMB) - 1
 _WORD = "18446744073709551616BD"
 
@@ -22,14 +22,16 @@ def u64_gt(c: Column, literal: int) -> Column:
 def wrapping_sum(c: Column) -> Column:
     """SUM modulo 2^64 as a long with those bits; NULL over no rows.
 
-    Three limbs of at most 22 bits are summed as longs, so partial sums stay
-    in generated code and can't overflow below 2^41 rows.
+    Four limbs of 16 bits are summed as longs, so partial sums stay in generated
+    code and can't overflow below 2^46 rows (half a petabyte of values).
     """
     c = c.cast("long")
-    low = F.sum(c.bitwiseAND(F.lit(_MASK)))
-    mid = F.sum(F.shiftrightunsigned(c, _LIMB).bitwiseAND(F.lit(_MASK))) + F.shiftrightunsigned(low, _LIMB)
-    high = F.sum(F.shiftrightunsigned(c, 2 * _LIMB)) + F.shiftrightunsigned(mid, _LIMB)
-    return F.shiftleft(high, 2 * _LIMB).bitwiseOR(F.shiftleft(mid.bitwiseAND(F.lit(_MASK)), _LIMB)).bitwiseOR(low.bitwiseAND(F.lit(_MASK)))
+    carry, out = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(0, 64, _LIMB):
+        limb = F.sum(F.shiftrightunsigned(c, k).bitwiseAND(F.lit(_MASK))) + carry
+        carry = F.shiftrightunsigned(limb, _LIMB)
+        out = out.bitwiseOR(F.shiftleft(limb.bitwiseAND(F.lit(_MASK)), k))
+    return out
 
 
 def wrapped(c: Column) -> Column:

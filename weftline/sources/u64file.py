@@ -1,15 +1,18 @@
 """Binary relations: a row count, a column count, then each column's values, all as 64-bit words.
 
 ``spark.read.format("u64rel").option("rows_per_task", n).load(path)`` reads one
-file or a folder of them; ``df.write.format("u64rel").mode("append").save(path)``
-writes one such file per partition. Values keep their 64 bits in a LongType column
+file or a folder of them; ``.option("columns", "0,2")`` reads these columns alone (c0
+and c2), and no byte of the others. ``df.write.format("u64rel").mode("append").save(path)``
+writes files of at most ``rows_per_file`` rows, which is what a task holds. Values keep their 64 bits in a LongType column
 (see functions.unsigned for the unsigned meaning). Paths are anything that
-pyarrow's file systems open. Reading validates each file's length.
+pyarrow's file systems open. Reading opens each header once, many at a time, and
+validates each file's length.
 """
 
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +49,28 @@ def _header(store: fs.FileSystem, at: str, length: int) -> tuple[int, int]:
     return rows, columns
 
 
+def _headers(path: str) -> list[tuple[str, int, int]]:
+    """Path, rows and columns of each relation file at path."""
+    store, _ = _open(path)
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(lambda f: (f[0], *_header(store, *f)), _files(path)))
+
+
 class RowRange(InputPartition):
-    def __init__(self, at: str, first: int, last: int, rows: int, columns: int):
-        self.at, self.first, self.last, self.rows, self.columns = at, first, last, rows, columns
+    def __init__(self, at: str, first: int, last: int, rows: int):
+        self.at, self.first, self.last, self.rows = at, first, last, rows
 
 
 class U64RelReader(DataSourceReader):
-    def __init__(self, path: str, rows_per_task: int):
-        self.path, self.rows_per_task = path, rows_per_task
+    def __init__(self, path: str, rows_per_task: int, columns: list[int]):
+        self.path, self.rows_per_task, self.columns = path, rows_per_task, columns
 
     def partitions(self):
-        store, _ = _open(self.path)
-        out = []
-        for at, length in _files(self.path):
-            rows, columns = _header(store, at, length)
-            out += [RowRange(at, i, min(i + self.rows_per_task, rows), rows, columns) for i in range(0, rows, self.rows_per_task)]
-        return out or [RowRange("", 0, 0, 0, 0)]
+        found = _headers(self.path)
+        if len({columns for _, _, columns in found}) > 1:
+            raise ValueError(f"files of {sorted({columns for _, _, columns in found})} columns in {self.path}")
+        out = [RowRange(at, i, min(i + self.rows_per_task, rows), rows) for at, rows, _ in found for i in range(0, rows, self.rows_per_task)]
+        return out or [RowRange("", 0, 0, 0)]
 
     def read(self, part: RowRange):
         if part.first == part.last:
@@ -71,44 +80,59 @@ class U64RelReader(DataSourceReader):
         with store.open_input_file(part.at) as f:
             for i in range(part.first, part.last, step):
                 n = min(step, part.last - i)
-                data = [np.frombuffer(f.read_at(n * WORD, WORD * (HEADER_WORDS + c * part.rows + i)), "<i8") for c in range(part.columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in data], [f"c{c}" for c in range(part.columns)])
+                data = [np.frombuffer(f.read_at(n * WORD, WORD * (HEADER_WORDS + c * part.rows + i)), "<i8") for c in self.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in data], [f"c{c}" for c in self.columns])
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, at: str):
-        self.at = at
+    def __init__(self, names: list[str]):
+        self.names = names
 
 
 class U64RelWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, columns: int):
-        self.path, self.columns = path, columns
+    def __init__(self, path: str, columns: int, rows_per_file: int):
+        self.path, self.columns, self.rows_per_file = path, columns, rows_per_file
 
     def write(self, batches):
-        parts = [[np.asarray(b.column(c).to_numpy(zero_copy_only=False), "<i8") for c in range(self.columns)] for b in batches]
-        rows = sum(len(p[0]) for p in parts)
+        """One column comes after the other in a file, so its rows are held until they are complete."""
         store, at = _open(self.path)
         store.create_dir(at, recursive=True)
-        name = f"part-{uuid.uuid4().hex}"
-        with store.open_output_stream(f"{at}/.{name}") as f:
-            f.write(np.array([rows, self.columns], "<u8").tobytes())
-            for c in range(self.columns):
-                for p in parts:
-                    f.write(p[c].tobytes())
-        return Written(name)
+        names, parts = [], []
+
+        def emit():
+            names.append(f"part-{uuid.uuid4().hex}")
+            with store.open_output_stream(f"{at}/.{names[-1]}") as f:
+                f.write(np.array([sum(p.num_rows for p in parts), self.columns], "<u8").tobytes())
+                for c in range(self.columns):
+                    for p in parts:
+                        f.write(np.asarray(p.column(c).to_numpy(zero_copy_only=False), "<i8").tobytes())
+            parts.clear()
+
+        for b in batches:
+            while b.num_rows:
+                room = self.rows_per_file - sum(p.num_rows for p in parts)
+                parts.append(b.slice(0, room))
+                b = b.slice(min(room, b.num_rows))
+                if sum(p.num_rows for p in parts) == self.rows_per_file:
+                    emit()
+        if parts or not names:
+            emit()
+        return Written(names)
 
     def commit(self, messages):
         """Only the files of tasks that succeeded get their visible name."""
         store, at = _open(self.path)
         for m in messages:
             if m is not None:
-                store.move(f"{at}/.{m.at}", f"{at}/{m.at}")
+                for name in m.names:
+                    store.move(f"{at}/.{name}", f"{at}/{name}")
 
     def abort(self, messages):
         store, at = _open(self.path)
         for m in messages:
             if m is not None:
-                store.delete_file(f"{at}/.{m.at}")
+                for name in m.names:
+                    store.delete_file(f"{at}/.{name}")
 
 
 class U64RelSource(DataSource):
@@ -117,19 +141,21 @@ class U64RelSource(DataSource):
         return "u64rel"
 
     def schema(self):
-        store, _ = _open(self.options["path"])
-        widths = {_header(store, at, n)[1] for at, n in _files(self.options["path"])}
-        if len(widths) != 1:
-            raise ValueError(f"files of {sorted(widths)} columns in {self.options['path']}")
-        return ", ".join(f"c{c} bigint not null" for c in range(widths.pop()))
+        """Of the columns asked for, or of all that the first file has; partitions() looks at every file."""
+        if asked := self.options.get("columns"):
+            return ", ".join(f"c{int(c)} bigint not null" for c in asked.split(","))
+        path = self.options["path"]
+        if not (files := _files(path)):
+            raise ValueError(f"no files in {path}")
+        return ", ".join(f"c{c} bigint not null" for c in range(_header(_open(path)[0], *files[0])[1]))
 
     def reader(self, schema):
-        return U64RelReader(self.options["path"], int(self.options.get("rows_per_task", 1 << 20)))
+        return U64RelReader(self.options["path"], int(self.options.get("rows_per_task", 1 << 20)), [int(n[1:]) for n in schema.names])
 
     def writer(self, schema, overwrite):
         if overwrite:
             raise ValueError("u64rel only appends")
-        return U64RelWriter(self.options["path"], len(schema.fields))
+        return U64RelWriter(self.options["path"], len(schema.fields), int(self.options.get("rows_per_file", 1 << 20)))
 
 
 def register(spark: SparkSession) -> None:
