@@ -1,5 +1,7 @@
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from weftline.llm import text
 from weftline.llm.text import in_parts
 
 
@@ -18,3 +20,11 @@ def test_parts_of_long_null_and_empty_texts():
     assert cut([None, "x" * 50, "", None, "yy"], 4) == [1, 1, 3]
     assert cut([None, None, ""], 4) == [3]
     assert cut([], 4) == []
+
+
+def test_hash_bound_finds_the_least_hashes_again(spark):
+    df = spark.range(5000).select("id", F.xxhash64("id").alias("h"))
+    least = sorted(r.h for r in df.collect())[:100]
+    assert sorted(r.h for r in text.least_hashes(df, 100).collect()) == least
+    assert sorted(r.h for r in df.where(F.col("h") <= text.hash_bound(df, 100)).collect()) == least
+    assert df.where(F.col("h") <= text.hash_bound(df, 10_000)).count() == 5000

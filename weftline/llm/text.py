@@ -47,12 +47,12 @@ def crc_fold(doc_id: int | None, parts: int) -> int:
 def least_hashes(df: DataFrame, limit: int, h: str = "h", n: int | None = None) -> DataFrame:
     """The limit rows with the least hashes of a seeded hash column, of n rows (counted here if not given).
 
-    Of many rows, a share of about twice the limit is drawn by the hash first, so
-    that the tasks hand on few rows altogether, however many tasks there are.
+    Of many rows, about twice the limit are drawn by a bound of the hash (spread over
+    all longs) first, so that the tasks hand on few rows altogether, however many tasks there are.
     """
     n = df.count() if n is None else n
     if n > 4 * limit:
-        df = df.where(F.pmod(F.col(h), F.lit(1 << 40)) < int((1 << 40) * 2 * limit / n))
+        df = df.where(F.col(h) < int(2**64 * 2 * limit / n) - 2**63)
     return df.orderBy(h).limit(limit)
 
 
