@@ -113,3 +113,18 @@ def test_binary_relation_columns_and_bounded_files(spark, tmp_path):
     np.array([1, 2, 5, 6], "<u8").tofile(out / "odd.rel")
     with pytest.raises(Exception, match="columns in"):
         spark.read.format("u64rel").load(str(out)).collect()
+
+
+def test_written_tables_are_dropped_between_marks(spark):
+    import os
+
+    from weftline.sources import shared
+
+    first = shared.mark()
+    shared.written(spark, spark.range(3), "one")
+    second = shared.mark()
+    two = shared.written(spark, spark.range(4), "two")
+    at = [p.removeprefix("file://") for p in shared._made[first:]]
+    shared.drop_between(spark, first, second)
+    assert [os.path.exists(p) for p in at] == [False, True] and two.count() == 4
+    shared.drop_between(spark, first, second)

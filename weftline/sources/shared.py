@@ -30,8 +30,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that written() has made in this process, oldest first.
+_made: list[str] = []
+
+
 def written(spark: SparkSession, df, name: str):
     """Write df as Parquet below the shared folder and read it back: lineage ends here."""
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place in the order of written tables, for drop_between()."""
+    return len(_made)
+
+
+def drop_between(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables written from one mark to another; nothing may still be computed from them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i in range(first, last):
+        if _made[i]:
+            at = jvm.org.apache.hadoop.fs.Path(_made[i])
+            at.getFileSystem(conf).delete(at, True)
+            _made[i] = ""
