@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.shared import written
+from weftline.sources.shared import drop_between, mark, written
 
 MAX_ROUNDS = 60
 
@@ -43,7 +43,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if before[0] == 0:
             break
+        last = mark()
         now = written(spark, _small_star(_large_star(now)), "edges")
+        drop_between(spark, last - 1, last)  # the round before
         after = _state(now)
         if after == before:
             break
