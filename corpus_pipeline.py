@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, pieces, quality, secrets, simhash
-from weftline.sources.shared import written
+from weftline.sources.shared import drop_between, mark, written
 
 
 def _keys(doc_id, key, **more) -> list:
@@ -76,11 +76,15 @@ STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates)
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in a row. Once a stage's result is written, the tables that it was made from are dropped."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            last = mark()
             docs = written(spark, docs, f"stage{i}")
+            drop_between(spark, first, last)
+            first = last
     return docs
 
 
