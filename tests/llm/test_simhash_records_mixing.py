@@ -160,6 +160,7 @@ def test_op10_generations_of_pieces_keep_ids(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok, enc, rng = Tokenizer.from_file(path), records.Encoder(path), random.Random(2)
     words = [f"w{i}{end}" for i in range(60) for end in ("", ".", ",\nnext", "\t", "\n\nx")]
+    words += [f"{w}{end}" for w in ("été", "straße", "the", "Ünï", "日本", "ǆǅ", "don't", "x²", "'s") for end in ("", ".", "$$$", ",;", "!!\nthe...", "...\n", "'", ".x", "%\n%")] + ["...", "$", "\n.", "a\tb."]
     for _ in range(12):
         texts = [" ".join(rng.choices(words, k=12)) for _ in range(20)]
         assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -35,7 +35,11 @@ MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x10
 INDEX = np.dtype([("offset", "<u8"), ("id", "<i8"), ("tokens", "<u4"), ("null", "u1")])
 #: Pieces of the newer of two generations that a worker keeps, and pieces encoded as one text.
-CACHE, JOINED = 500_000, 1000
+CACHE, JOINED = 800_000, 1000
+#: Texts whose pieces are learned together.
+TOGETHER = 1024
+#: Marks that close words. Letters up to this one are letters to every version of Unicode.
+_MARKS, _LETTERS = ".,;:!?$%*#", "\u024f"
 #: Bytes of records read at once (one record at least).
 READ = 8 << 20
 
@@ -69,7 +73,8 @@ class Encoder:
     A byte-level pre-tokenizer always starts a token at a single space between
     two other characters, and a single line end between two such is a token of its
     own; texts are cut at both and each distinct piece is encoded once, many at a
-    time. Texts with wider white space at a cut are encoded whole.
+    time. It also parts letters from marks, so marks that close a word are put to its
+    ids. Texts with wider white space at a cut are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -108,13 +113,23 @@ class Encoder:
             self.older, self.tails, self.heads = (self.tails, self.heads), {}, {}
         compound: dict[str, list[str]] = {}
         simple: dict[str, set[str]] = {" ": set(), "": set()}
+        closed: list[tuple[dict, str, str, str]] = []
         for mark, pieces, cache, older in ((" ", tails, self.tails, self.older[0]), ("", heads, self.heads, self.older[1])):
             new = pieces.difference(cache)
             again = new.intersection(older)
             cache.update(zip(again, map(older.__getitem__, again), strict=True))
             for p in new - again:
                 if p.split() == [p]:
-                    simple[mark].add(p)
+                    word = p.rstrip(_MARKS)
+                    if len(word) == len(p) or not word.isalpha() or max(word) > _LETTERS:
+                        simple[mark].add(p)
+                        continue
+                    closed.append((cache, p, word, p[len(word) :]))
+                    if word in older:
+                        cache[word] = older[word]
+                    elif word not in cache:
+                        simple[mark].add(word)
+                    simple[""].add(p[len(word) :])
                     continue
                 lines = p.split("\n")
                 if not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
@@ -130,6 +145,8 @@ class Encoder:
         for mark, cache, flag in ((" ", self.tails, lambda ids: self.spaced[ids]), ("", self.heads, lambda ids: ids == self.newline)):
             todo = list(simple[mark])
             cache.update(zip(todo, self._joined(todo, mark or "\n", flag), strict=True))
+        for cache, p, word, marks in closed:
+            cache[p] = cache[word] + self.heads[marks]
         end = np.array([self.newline], self.dtype).tobytes()
         for mark, pieces in compound.items():
             cache = self.tails if mark else self.heads
@@ -138,10 +155,10 @@ class Encoder:
                 cache[p] = end.join([cache[first], *(self.heads[x] for x in rest)])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 256):
-            parts = [t.split(" ") for t in texts[i : i + 256]]
+        for i in range(0, len(texts), TOGETHER):
+            parts = [t.split(" ") for t in texts[i : i + TOGETHER]]
             self._learn(set().union(*(p[1:] for p in parts)), {p[0] for p in parts})
-            for text, (head, *tail) in zip(texts[i : i + 256], parts, strict=True):
+            for text, (head, *tail) in zip(texts[i : i + TOGETHER], parts, strict=True):
                 try:
                     yield b"".join((self.heads[head], *map(self.tails.__getitem__, tail)))
                 except TypeError:
