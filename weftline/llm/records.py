@@ -119,9 +119,12 @@ class Encoder:
             again = new.intersection(older)
             cache.update(zip(again, map(older.__getitem__, again), strict=True))
             for p in new - again:
+                if p.isalpha():
+                    simple[mark].add(p)
+                    continue
                 if p.split() == [p]:
                     word = p.rstrip(_MARKS)
-                    if len(word) == len(p) or not word.isalpha() or max(word) > _LETTERS:
+                    if len(word) == len(p) or not word.isalpha() or not (word.isascii() or max(word) <= _LETTERS):
                         simple[mark].add(p)
                         continue
                     closed.append((cache, p, word, p[len(word) :]))
@@ -156,9 +159,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), TOGETHER):
-            parts = [t.split(" ") for t in texts[i : i + TOGETHER]]
-            self._learn(set().union(*(p[1:] for p in parts)), {p[0] for p in parts})
-            for text, (head, *tail) in zip(texts[i : i + TOGETHER], parts, strict=True):
+            some = texts[i : i + TOGETHER]
+            tails = [t.split(" ") for t in some]
+            heads = [p.pop(0) for p in tails]
+            self._learn(set().union(*tails), set(heads))
+            for text, head, tail in zip(some, heads, tails, strict=True):
                 try:
                     yield b"".join((self.heads[head], *map(self.tails.__getitem__, tail)))
                 except TypeError:
