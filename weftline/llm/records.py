@@ -116,7 +116,7 @@ class Encoder:
         closed: list[tuple[dict, str, str, str]] = []
         for mark, pieces, cache, older in ((" ", tails, self.tails, self.older[0]), ("", heads, self.heads, self.older[1])):
             new = pieces.difference(cache)
-            again = new.intersection(older)
+            again = set(filter(older.__contains__, new))  # an intersection would walk all that is kept
             cache.update(zip(again, map(older.__getitem__, again), strict=True))
             for p in new - again:
                 if p.isalpha():
